@@ -78,14 +78,19 @@ class Pieces:
         self.surface = [b"" if p.type in (2, 3) else bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else p.piece.encode() for p in m.pieces]
         self.surface[self.unknown] = (m.trainer_spec.unk_surface or " ⁇ ").encode()
         self.is_byte = [p.type == 6 for p in m.pieces]
-        letters = {c for p in self.score for c in p}
         inside = {c for p in self.score if len(p) > 1 for c in p}
-        lone = "" if "\n" in inside else "\n"
+        pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        marks = {c for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"}
+        while late := {x[1] for x in pairs if x[1] in marks and x[0] not in marks and x[0] != SPACE}:
+            marks -= late  # what a piece has behind a letter is no place to cut
+        line, mark = "" if "\n" in inside else "\n", re.escape("".join(sorted(marks)))
+        cut = rf"{SPACE}*[{mark}]*[^{SPACE}{line}{mark}]+|{SPACE}*[{mark}]+|{SPACE}+" if marks else rf"{SPACE}*[^{SPACE}{line}]+|{SPACE}+"
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.score)
-        self.cut = re.compile(rf"{lone}|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" if lone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if not crosses else (lambda s: [s] if s else [])
+        self.cut = (lambda s: [s] if s else []) if crosses else re.compile(cut + ("|\n" if line else "")).findall
         self.keep = re.compile("(" + "|".join(map(re.escape, self.own)) + ")") if self.own else None
-        self.letters = letters
-        self.memory, self.plain = _Cuts(self), _Plain(self)
+        self.memory = _Cuts(self)
+        self.shown: dict[str, str | None] = {}
+        self.numbers = _Numbers(self)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray | None]:
         """The normalised text and, for each of its bytes and its end, the source byte it came from; None: byte i+shift for all, as nothing is rewritten but spaces."""
@@ -236,14 +241,13 @@ class Pieces:
         end = () if self.end is None else (str(self.end),)
         if not (cuts := self.cuts(normalised)):
             return len(end), hashlib.sha256("".join(end).encode()).hexdigest(), hashlib.sha256(b"").hexdigest()
-        texts, sizes, plain, _ = zip(*map(self.plain.__getitem__, cuts), strict=True)
-        joined = " ".join(texts + end)
-        if None in plain:
-            decoded = self.decode([i for c in cuts for i in self.plain[c][3]])
-        else:
-            decoded = "".join(plain)
+        joined = " ".join([*map(self.numbers.__getitem__, cuts), *end])
+        try:
+            decoded = "".join(map(self.shown.__getitem__, cuts))
             decoded = (decoded[1:] if self.dummy and decoded[0] == SPACE else decoded).replace(SPACE, " ")
-        return sum(sizes) + len(end), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        except (TypeError, KeyError):  # byte pieces, or a surface that has gone from memory
+            decoded = self.decode([int(i) for c in cuts for i in self.numbers[c].split(" ")])
+        return joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 class _Cuts(dict):
@@ -259,26 +263,30 @@ class _Cuts(dict):
         return found
 
 
-class _Plain(dict):
-    """Of a cut, for digests: ids as text, their number, the text of their surfaces (None where that isn't whole characters), and the ids. What was asked for since the last fill but one is at hand."""
+class _Numbers(dict):
+    """Ids of a cut as text; beside it, the text of their surfaces goes to shown, None where that isn't whole characters. The rarer half goes when it is full."""
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.old = pieces, {}
 
-    def __missing__(self, cut: str) -> tuple[str, int, str | None, tuple[int, ...]]:
+    def __missing__(self, cut: str) -> str:
         if (found := self.old.get(cut)) is None:
             found = self.make(cut)
         if len(self) > MEMORY:
+            shown = self.pieces.shown
+            for gone in self.old.keys() - self.keys():
+                shown.pop(gone, None)
             self.old = dict(self)
             self.clear()
         self[cut] = found
         return found
 
-    def make(self, cut: str) -> tuple[str, int, str | None, tuple[int, ...]]:
+    def make(self, cut: str) -> str:
         pieces = self.pieces
         ids = (pieces.id[cut],) if cut in pieces.own else pieces.ids_of(cut)[0]
         raw = b"".join([pieces.surface[i] for i in ids])
-        return " ".join(map(str, ids)), len(ids), cut if raw == cut.encode() and not pieces.strip else None, ids
+        pieces.shown[cut] = cut if raw == cut.encode() and not pieces.strip else None
+        return " ".join(map(str, ids))
 
 
 def _model(df: DataFrame, path: str):
