@@ -38,6 +38,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents, train(documents, table(spark, sf_dir, "labels")))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import piece_digests
 
@@ -51,7 +57,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_quality_rules, op6_sentencepiece, op9_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_quality_rules, op5_html_extraction, op6_sentencepiece, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
