@@ -31,6 +31,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge, train
 
@@ -50,14 +56,26 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_t")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_digests
+
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_quality_rules, op5_html_extraction, op6_sentencepiece, op9_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_minhash_near_dedup, op4_quality_rules, op5_html_extraction, op6_sentencepiece, op7_benchmark_decontamination, op9_token_counts, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
