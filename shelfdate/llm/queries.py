@@ -62,6 +62,16 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_t")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .suffix_dedup import dedup_strings
+
+    found = dedup_strings(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["z"] - s["a"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -75,7 +85,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_minhash_near_dedup, op4_quality_rules, op5_html_extraction, op6_sentencepiece, op7_benchmark_decontamination, op9_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_minhash_near_dedup, op4_quality_rules, op5_html_extraction, op6_sentencepiece, op7_benchmark_decontamination, op8_suffix_dedup, op9_token_counts, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
