@@ -1,0 +1 @@
+"""Whole plans: tokens to dates, and the reading ladder."""
