@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, written
+from .common import cleaned, dropped, map_rows, pick, written
 from .quality import _mix, _powers
 
 SPAN, KEY = 100, 32
@@ -147,7 +147,6 @@ def repeated(snippets: list[bytes], windows: np.ndarray, span: int = SPAN, shard
 
 
 _ROW = "doc_id long, t long, start long, windows int, at int, width int, key long, snippet binary"
-_ID = ["doc_id", "t"]
 
 
 def _raws(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -155,17 +154,18 @@ def _raws(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def _anchors(df: DataFrame, span: int, key: int) -> DataFrame:
-    """doc_id, t, start and key (hash) of each run."""
+    """doc_id, node, and keys (hashes) and starts of the text's runs."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            parts = [(begin, *runs(part, span, key)) for begin, part in _chunks(_raws(batch))]
-            row = np.concatenate([p[0] + p[1] for p in parts])
-            return {"doc_id": batch.column(0).take(pa.array(row)), "t": batch.column(1).take(pa.array(row)), "start": np.concatenate([p[2] for p in parts]), "key": np.concatenate([p[5] for p in parts]).view(np.int64)}
+            parts = [(len(part), *runs(part, span, key)) for _, part in _chunks(_raws(batch))]
+            count = np.concatenate([np.bincount(p[1], minlength=p[0]) for p in parts])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+            return {"doc_id": batch.column(0), "node": batch.column(1), "keys": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[5] for p in parts]).view(np.int64))), "starts": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)))}
 
         return each
 
-    return map_rows(df.select("doc_id", "t", "text"), make, "doc_id long, t long, start long, key long")
+    return map_rows(df.select("doc_id", "node", "text"), make, "doc_id long, node binary, keys array<long>, starts array<int>")
 
 
 def _snippets(df: DataFrame, span: int, key: int) -> DataFrame:
@@ -180,13 +180,13 @@ def _snippets(df: DataFrame, span: int, key: int) -> DataFrame:
                 edge = np.searchsorted(doc, np.arange(len(part) + 1))
                 for i, raw in enumerate(part):
                     a, z = edge[i], edge[i + 1]
-                    pick_ = a + np.flatnonzero(np.isin(start[a:z], listed[begin + i]))
-                    out["row"] += [begin + i] * len(pick_)
+                    mine = a + np.flatnonzero(np.isin(start[a:z], listed[begin + i]))
+                    out["row"].append(np.full(len(mine), begin + i))
                     for name, of in (("start", start), ("windows", windows), ("at", at), ("key", keys.view(np.int64))):
-                        out[name].append(of[pick_])
-                    out["snippet"] += [raw[s : s + w + span - 1] for s, w in zip(start[pick_].tolist(), windows[pick_].tolist(), strict=True)]
-            row = pa.array(out["row"], pa.int64())
-            joined = {k: np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64) for k in ("start", "windows", "at", "key")}
+                        out[name].append(of[mine])
+                    out["snippet"] += [raw[s : s + w + span - 1] for s, w in zip(start[mine].tolist(), windows[mine].tolist(), strict=True)]
+            joined = {k: np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64) for k in ("row", "start", "windows", "at", "key")}
+            row = pa.array(joined.pop("row"))
             return {"doc_id": batch.column(0).take(row), "t": batch.column(1).take(row), **joined, "width": np.full(len(row), key), "snippet": out["snippet"]}
 
         return each
@@ -255,42 +255,49 @@ def _within(df: DataFrame, span: int) -> DataFrame:
 def ranges(df: DataFrame, span: int = SPAN, key: int = KEY) -> DataFrame:
     """doc_id, t, a, z: byte ranges that go; they may overlap. df: doc_id, t (hash of the text) and text."""
     spark = df.sparkSession
-    anchors = _anchors(df, span, key)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
+    own = df.withColumn("node", F.expr("unhex(md5(cast(text as binary)))"))
+    # equal texts are one, at the least doc_id; the others go whole
+    texts = written(_anchors(own, span, key).groupBy("node").agg(F.min(place).alias("rep"), F.first("keys").alias("keys"), F.first("starts").alias("starts")).select("node", "rep", "keys", "starts"))
+    cleaned(spark)
+    first = texts.select("node", "rep")
+    copies = own.select("doc_id", "t", "node", F.octet_length("text").cast("long").alias("z")).where(F.col("z") >= span).join(first, "node").where(place != F.col("rep")).select("doc_id", "t", F.lit(0).cast("long").alias("a"), "z")
+    found = written(copies)
+    anchors = texts.select(F.col("rep.doc_id").alias("doc_id"), F.explode(F.arrays_zip("keys", "starts")).alias("x")).select("doc_id", F.col("x.starts").alias("start"), F.col("x.keys").alias("key"))
     twice = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    listed = written(anchors.join(twice, "key").groupBy(*_ID).agg(F.collect_set("start").alias("starts")))
-    mine = listed.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "starts")
-    rows = _snippets(df.join(mine, df["doc_id"].eqNullSafe(mine["d"]) & (df["t"] == mine["u"])), span, key)
+    listed = written(anchors.join(twice, "key").groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
+    dropped(texts)
+    cleaned(spark)
+    mine = listed.select(F.col("doc_id").alias("d"), "starts")
+    rows = _snippets(df.join(mine, df["doc_id"].eqNullSafe(mine["d"])), span, key)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "start")
-    found = None
     while True:
-        named = written(rows.withColumn("name", F.md5(F.concat("snippet", F.col("at").cast("string").cast("binary")))))
-        _free(spark)
-        alike = named.groupBy("key", "name", "windows", "at", "width", "snippet").agg(F.min(place).alias("p"), F.count("*").alias("n"))
+        named = written(rows.withColumn("name", F.xxhash64("snippet", "at")))
+        cleaned(spark)
+        light = named.select("doc_id", "t", "start", "windows", "key", "name")
+        alike = light.groupBy("key", "name").agg(F.min(place).alias("p"), F.count("*").alias("n"))
         sized = alike.groupBy("key").agg(F.count("*").alias("unlike"))
-        kept = written(alike.join(sized, "key"))
-        first = kept.where("n > 1").select("key", "name", "p")
-        late = named.select("doc_id", "t", "start", "windows", "key", "name").join(first, ["key", "name"]).where(place != F.col("p")).select("doc_id", "t", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (span - 1)).alias("z"))
-        one = kept.select("p.doc_id", "p.t", "p.start", "windows", "at", "width", "key", "snippet", "unlike")
-        some = one.where(f"unlike between 2 and {LIMIT}")
-        buckets = max(64, -(-some.count() // BUCKET))
-        dealt = some.select("doc_id", "t", "start", "windows", "snippet", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
-        gone = written(late.unionByName(_within(dealt, span)))
-        _free(spark)
-        found = gone if found is None else found.unionByName(gone)
-        hot = one.where(f"unlike > {LIMIT}").drop("unlike")
+        kept = written(alike.join(sized, "key").where("n > 1 or unlike > 1"))
+        cleaned(spark)
+        late = light.join(kept.where("n > 1").select("key", "name", "p"), ["key", "name"]).where(place != F.col("p")).select("doc_id", "t", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (span - 1)).alias("z"))
+        gone = written(late)
+        several = kept.where("unlike > 1").select(F.col("p.doc_id").alias("d"), F.col("p.t").alias("u"), F.col("p.start").alias("s"), "unlike")
+        many = several.count()
+        if not many:
+            return found.unionByName(gone)
+        one = written(named.join(several, named["doc_id"].eqNullSafe(several["d"]) & (named["t"] == several["u"]) & (named["start"] == several["s"])).drop("d", "u", "s", "name"))
+        dropped(named)
+        cleaned(spark)
+        buckets = max(64, -(-many // BUCKET))
+        dealt = one.where(F.col("unlike") <= LIMIT).select("doc_id", "t", "start", "windows", "snippet", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+        found = found.unionByName(gone).unionByName(written(_within(dealt, span)))
+        cleaned(spark)
+        hot = one.where(F.col("unlike") > LIMIT)
         if not hot.limit(1).count():
             return found
         rows = _longer(hot.select(*[c.split()[0] for c in _ROW.split(", ")]), span)
 
 
-def _free(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps whose results are written."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup_strings(df: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, spans (first and last byte, end exclusive, of the maximal runs that go) and kept (the remaining bytes) of every row."""
     own = pick(df, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("t", F.xxhash64("text"))
