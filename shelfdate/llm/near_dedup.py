@@ -7,9 +7,11 @@ agree in a register with their probability Jaccard similarity. BANDS bands of RO
 similarity of 0.8 a pair misses all bands with a probability under 1e-5. Candidates are verified exactly: they are linked if
 the probability Jaccard similarity of the weighted shingles, or the Jaccard similarity of the shingle sets, is 0.8 or more.
 
-Equal texts are one node. Within a bucket every node is first held against the bucket's least; then, in buckets that still
-hold nodes of several components, all pairs across components. Pairs inside a component are never made, as they add
-nothing to the classes: so a bucket of copies costs as many pairs as it has nodes, and no link is lost.
+Equal texts are one node. Within a bucket every node is first held against one leader; then, in buckets that still hold
+nodes of several components, pairs across components, but for those that an exact bound rules out: shingles that no other
+of these nodes has can't be in common, which leaves most heavily edited copies no partner. Pairs inside a component are
+never made, as they add nothing to the classes: so a bucket of copies costs as many pairs as it has nodes, and no link is
+lost.
 
 Cases: null and empty texts, and texts without words, are like nothing, and each row is its own class; the class of others
 is the least doc_id in it (null if all are null); repeated rows are in one class; empty tables give no rows; other columns
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import cleaned, map_rows, written
 from .quality import _MIX, Laid, _mix, laid
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -180,25 +182,68 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _profiles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, and of its shingles: n, their weights' sum w, whether one occurs twice (multi), and u and v: how many, and of what weight, no other of these nodes has."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> dict:
+            keys, shares, multi = [], [], []
+            for _, raws, x in laid(batch.column(1).to_pylist()):
+                doc, key, count = shingles(x)
+                edge = np.searchsorted(doc, np.arange(len(raws) + 1))
+                for a, z in zip(edge, edge[1:], strict=False):
+                    keys.append(key[a:z].view(np.int64))
+                    shares.append(weights(count[a:z]))
+                    multi.append(bool((count[a:z] > 1).any()))
+            return {"node": batch.column(0), "keys": keys, "shares": shares, "multi": multi}
+
+        return each
+
+    have = written(map_rows(texts.join(nodes, "node").select("node", "text"), make, "node binary, keys array<long>, shares array<double>, multi boolean"))
+    each = have.select("node", F.explode(F.arrays_zip("keys", "shares")).alias("x")).select("node", F.col("x.keys").alias("key"), F.col("x.shares").alias("w"))
+    own = each.groupBy("key").agg(F.count("*").alias("c"), F.first("node").alias("node"), F.first("w").alias("w")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"), F.sum("w").alias("v"))
+    sums = have.select("node", F.size("keys").cast("long").alias("n"), F.aggregate("shares", F.lit(0.0), lambda a, x: a + x).alias("w"), "multi")
+    return sums.join(own, "node", "left").select("node", "n", "w", "multi", F.coalesce("u", F.lit(0)).cast("long").alias("u"), F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def _possible(least: float) -> str:
+    """Whether two profiles (n, u, w, v, multi of a and b) leave a similarity of least possible. A node's own shingles are in no other. With c the most that two sets can have in common, their Jaccard similarity is c / (na + nb - c) at most; a probability Jaccard similarity is no more than the share of common weight on either side, and is that of the sets where no shingle occurs twice."""
+    c = "least(na - ua, nb - ub)"
+    return f"({c} >= {least - 1e-9} * (na + nb - {c}) or ((ma or mb) and least((wa - va) / wa, (wb - vb) / wb) >= {least - 1e-9}))"
+
+
 def links(df: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links a, b between unlike texts that hold all classes together, and the labels of their nodes. nodes: doc_id, node, bands of df's rows."""
+    spark = df.sparkSession
     texts = df.where("text is not null").groupBy(F.expr("unhex(md5(cast(text as binary)))").alias("node")).agg(F.first("text").alias("text"))
     distinct = nodes.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     places = distinct.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = places.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(places.join(buckets, ["band", "key"]).select("band", "key", "node", "leader"))
+    buckets = places.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(places.join(buckets, ["band", "key"]))
+    cleaned(spark)
+    # a bucket's leader is the node with the most company in all its buckets: of copies, the one that most are like
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    met = shared.join(company, "node").select("band", "key", "node", F.struct("company", "node").alias("rank"))
+    leaders = met.groupBy("band", "key").agg(F.max("rank").alias("m")).select("band", "key", F.col("m.node").alias("leader"))
+    members = written(shared.select("band", "key", "node").join(leaders, ["band", "key"]))
     stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     first = written(_verified(stars, texts, least))
+    cleaned(spark)
     labels = components(first)
     named = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
     open_ = written(named.join(mixed, ["band", "key"]))
     if not open_.limit(1).count():
         return first, labels
-    other = open_.select("band", "key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    across = open_.select("band", "key", F.col("node").alias("a"), F.col("label").alias("la")).join(other, ["band", "key"]).where("la <> lb and a < b").select("a", "b").distinct()
+    profiles = _profiles(open_.select("node").distinct(), texts)
+    able = profiles.where(f"n - u >= {least - 1e-9} * n or (multi and w - v >= {least - 1e-9} * w)")
+    known = written(open_.join(able, "node"))
+    cleaned(spark)
+    side = lambda x: known.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c[0] if c != 'label' else 'l'}{x}") for c in ("label", "n", "u", "w", "v", "multi")])
+    across = side("a").join(side("b"), ["band", "key"]).where(f"la <> lb and a < b and {_possible(least)}").select("a", "b").distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = written(_verified(across.join(done, ["a", "b"], "left_anti"), texts, least))
+    cleaned(spark)
     if not second.limit(1).count():
         return first, labels
     both = first.union(second)
