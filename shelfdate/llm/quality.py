@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, pick
 
 #: Labelled rows that the regression is fitted on at most: those whose ids hash lowest.
-SAMPLE = 3000
-BUCKETS, KEEP = 4096, 0.5
+SAMPLE = 2400
+BUCKETS, KEEP = 2048, 0.5
 #: Bytes of text laid out at once.
 CHUNK = 1 << 21
 _SPACE = np.zeros(256, bool)
@@ -97,14 +97,14 @@ class Laid:
         return np.bincount(d[np.cumsum(cover)[:-1] > 0], minlength=self.n)
 
     def word_buckets(self) -> np.ndarray:
-        return (self.words >> np.uint64(52)).astype(np.int64)
+        return (self.words >> np.uint64(53)).astype(np.int64)
 
     def trigram_buckets(self) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the byte trigrams and the text of each; the last of a text ends in the two spaces behind it."""
         b = self.buffer.astype(np.uint32)
         key = (b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(0x9E3779B1)
         inside = self.doc[:-2] == self.doc[2:]
-        return (key >> np.uint32(20)).astype(np.int64)[inside], self.doc[:-2][inside]
+        return (key >> np.uint32(21)).astype(np.int64)[inside], self.doc[:-2][inside]
 
 
 def laid(texts: list[str | None]):
@@ -159,9 +159,11 @@ def features(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         def each(batch: pa.RecordBatch) -> dict:
             at, share = [], []
             for _, raws, x in laid(batch.column(1).to_pylist()):
-                tri, doc = x.trigram_buckets()
+                (tri, doc), word = x.trigram_buckets(), x.word_buckets()
+                edges = [np.searchsorted(of, np.arange(len(raws) + 1)) for of in (x.word_doc, doc)]
                 for i in range(len(raws)):
-                    counts = np.concatenate([np.bincount(x.word_buckets()[x.word_doc == i], minlength=BUCKETS) / max(1, (x.word_doc == i).sum()), np.bincount(tri[doc == i], minlength=BUCKETS) / max(1, (doc == i).sum())])
+                    own = [of[e[i] : e[i + 1]] for of, e in zip((word, tri), edges, strict=True)]
+                    counts = np.concatenate([np.bincount(o, minlength=BUCKETS) / max(1, len(o)) for o in own])
                     at.append(np.flatnonzero(counts).astype(np.int32))
                     share.append(counts[at[-1]].astype(np.float32))
             return {"doc_id": batch.column(0), "y": batch.column(2), "at": at, "share": share}
@@ -184,11 +186,11 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-4) ->
     aside = np.arange(len(y)) % 4 == 3
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside = np.zeros(len(y), bool)
-    xt, yt = x[~aside], y[~aside]
-    spread = np.sqrt((xt**2).mean(axis=0)) + 1e-4
-    scaled = xt / spread
+    scaled, yt = x[~aside], y[~aside]
+    spread = np.sqrt(np.einsum("ij,ij->j", scaled, scaled) / len(scaled)) + np.float32(1e-4)
+    scaled /= spread
     weight = np.where(yt == 1, 0.5 / max(1, yt.sum()), 0.5 / max(1, (1 - yt).sum()))
-    step = 4 / float((scaled**2).sum(axis=1).max() + 1)
+    step = 4 / float(np.einsum("ij,ij->i", scaled, scaled).max() + 1)
     w, old, b, old_b = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0.0, 0.0
     for k in range(rounds):
         look, look_b = w + k / (k + 3) * (w - old), b + k / (k + 3) * (b - old_b)
