@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 2
 
 
@@ -56,7 +58,8 @@ def removals(df: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     place = F.struct(F.col("_id").isNull(), "_id", "_t", "_at")
     alike = chunks.groupBy("_a", "_b", "_text").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    known = alike.groupBy("_a", "_b").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last")).where("texts = 1 and first <> last").select("_a", "_b", "first")
+    # written, so that the join below deals both of its sides itself and can split a chunk that very many texts have
+    known = written(alike.groupBy("_a", "_b").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last")).where("texts = 1 and first <> last").select("_a", "_b", "first"))
     return (
         chunks.select(*_KEY, "_at", "_a", "_b").join(known, ["_a", "_b"]).where(place != F.col("first")).groupBy(*_KEY).agg(F.collect_set("_at").alias("_gone"))
     )
