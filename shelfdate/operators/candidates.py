@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.dates import LabelConfig, cells, read_triple, valid_cells, year
-from ..functions.text import U, any_of, fold_separators, let, strip, strip_noise
+from ..functions.text import U, any_of, colon_date, fold_separators, let, nfkc_arrow, nfkc_native, noise, strip, strip_noise
 
 MONTHS = fixed.month_spellings()
 _NAMED = U + r"(?s)\A(.*?)(?<![A-Z])(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")(?![A-Z])(.*)\z"
@@ -15,9 +18,36 @@ CANDIDATE = "array<struct<score:int,why:array<string>,y:int,m:int,d:int,fb:boole
 _RAW = "array<struct<a:int,b:int,c:int,ctx:string,cut:boolean,fb:boolean,src:string>>"
 
 
+def held(**columns: Column) -> Column:
+    """These columns, worked out once however often they are used later (a generator is not merged into later projections)."""
+    return F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+
+
 def hold(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with these columns, worked out once however often they are used later (a generator is not merged into later projections)."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    """df with these columns, worked out once."""
+    return df.select("*", held(**columns))
+
+
+_BUILT: dict = {}
+
+
+def steps(make):
+    """Turns a generator of held columns and names to drop (tuples) into a function of a DataFrame. What it yields depends on its arguments alone and is built once for each of them: columns are many small calls to the JVM."""
+
+    @wraps(make)
+    def run(df: DataFrame, *args) -> DataFrame:
+        key = (make, args, id(SparkContext._gateway))
+        if key not in _BUILT:
+            _BUILT[key] = list(make(*args))
+        for step in _BUILT[key]:
+            df = df.drop(*step) if isinstance(step, tuple) else df.select("*", step)
+        return df
+
+    return run
+
+
+#: Columns that the steps of one pass leave behind.
+LEFT = ("_nfkc", "_norm", "_clean", "_all", "_dropped", "_named", "_dated", "_months", "_tokens", "_raws", "_bare", "_digits", "_joins", "_read", "_exp_any", "_one", "_every", "_cands", "_some", "_voted", "_ranked")
 
 
 def month_map() -> Column:
@@ -52,10 +82,11 @@ def beside_month(left: Column, right: Column, month: Column, config: LabelConfig
     return let(F.struct(numbers(left).alias("l"), numbers(right).alias("r")), both)
 
 
-def month_candidates(df: DataFrame, config: LabelConfig) -> DataFrame:
+@steps
+def month_candidates(config: LabelConfig):
     """_months: candidates from month names, token by token, and last the first month that got none. Wants _clean: tokens without noise."""
     token = lambda tk, i: F.struct(F.regexp_extract(tk, _NAMED, 2).alias("name"), F.regexp_extract(tk, _NAMED, 1).alias("left"), F.regexp_extract(tk, _NAMED, 3).alias("right"), F.coalesce(F.get("_clean", i - 1), F.lit("")).alias("prev"), F.coalesce(F.get("_clean", i + 1), F.lit("")).alias("next"), tk.alias("tk"))
-    df = hold(df, _named=F.filter(F.transform("_clean", token), lambda x: x["name"] != ""))
+    yield held(_named=F.filter(F.transform("_clean", token), lambda x: x["name"] != ""))
 
     def dated(x: Column) -> Column:
         month = F.element_at(month_map(), x["name"])
@@ -65,14 +96,14 @@ def month_candidates(df: DataFrame, config: LabelConfig) -> DataFrame:
         base = F.when(x["name"].isin(*fixed.MONTH_BASE, *fixed.MONTH_LONG), fixed.MONTH_NAME).otherwise(fixed.MONTH_MISREAD)
         return let(own, lambda o: F.struct(x["name"].alias("name"), month.alias("month"), F.when(F.size(o) > 0, o).otherwise(wide).alias("dates"), (base + F.when(F.size(o) > 0, 0).otherwise(-fixed.NEIGHBOUR) + fixed.MONTH_BONUS).alias("score"), any_of(around, fixed.EXPIRY_WORDS).alias("exp"), any_of(around, fixed.MADE_WORDS).alias("made")))
 
-    df = hold(df, _dated=F.transform("_named", dated))
+    yield held(_dated=F.transform("_named", dated))
     said = lambda x: F.concat(F.lit("월이름 '"), x["name"], F.lit("'→"), x["month"].cast("string"), F.lit("월"))
     why = lambda x: F.concat(F.array(said(x)), F.when(x["exp"], F.array(F.lit(fixed.WHY["expiry"]))).otherwise(F.array().cast("array<string>")), F.when(x["made"], F.array(F.lit(fixed.WHY["made"]))).otherwise(F.array().cast("array<string>")))
     score = lambda x: x["score"] + F.when(x["exp"], fixed.EXPIRY).otherwise(0) - F.when(x["made"], fixed.MADE).otherwise(0)
     no_src = F.lit(None).cast("string")
     found = F.flatten(F.transform("_dated", lambda x: F.transform(x["dates"], lambda p: F.struct(score(x).alias("score"), why(x).alias("why"), p["y"].alias("y"), p["m"].alias("m"), p["d"].alias("d"), F.lit(False).alias("fb"), no_src.alias("src")))))
     alone = F.transform(F.slice(F.filter("_dated", lambda x: F.size(x["dates"]) == 0), 1, 1), lambda x: F.struct(F.lit(fixed.MONTH_ALONE).alias("score"), F.array(F.concat(said(x), F.lit(" (월만 판독)"))).alias("why"), F.lit(None).cast("int").alias("y"), x["month"].alias("m"), F.lit(None).cast("int").alias("d"), F.lit(False).alias("fb"), no_src.alias("src")))
-    return hold(df, _months=F.when(F.size("_named") > 0, F.concat(found.cast(CANDIDATE), alone.cast(CANDIDATE))).otherwise(F.array().cast(CANDIDATE))).drop("_named", "_dated")
+    yield held(_months=F.when(F.size("_named") > 0, F.concat(found.cast(CANDIDATE), alone.cast(CANDIDATE))).otherwise(F.array().cast(CANDIDATE)))
 
 
 def _trimmed(sa: Column, sb: Column, sc: Column, ctx: Column, src: Column) -> Column:
@@ -91,11 +122,12 @@ def _trimmed(sa: Column, sb: Column, sc: Column, ctx: Column, src: Column) -> Co
     )
 
 
-def number_triples(df: DataFrame, config: LabelConfig) -> DataFrame:
+@steps
+def number_triples(config: LabelConfig):
     """_raws: number triples of every token in order. Runs of 8 digits and separated triples always count; the other shapes each only if none before it was found in the token. Wants _clean and _srcs."""
     all_ = lambda t, p, g: F.regexp_extract_all(t, F.lit(U + p), g)
     token = lambda tk, i: let(fold_separators(tk), lambda t: F.struct(tk.alias("ctx"), t.alias("it"), F.get("_srcs", i).alias("src"), all_(t, fixed.RUN_8, 1).alias("r8"), all_(t, fixed.TRIPLE, 1).alias("ta"), all_(t, fixed.TRIPLE, 2).alias("tb"), all_(t, fixed.TRIPLE, 3).alias("tc")))
-    df = hold(df, _tokens=F.filter(F.transform("_clean", token), lambda x: x["it"].rlike(U + r"\d")))
+    yield held(_tokens=F.filter(F.transform("_clean", token), lambda x: x["it"].rlike(U + r"\d")))
     num = lambda x: x.try_cast("int")
     none = F.array().cast(_RAW)
 
@@ -115,13 +147,14 @@ def number_triples(df: DataFrame, config: LabelConfig) -> DataFrame:
         three = F.flatten(F.transform(F.arrays_zip(x["ta"].alias("ta"), x["tb"].alias("tb"), x["tc"].alias("tc")), lambda z: _trimmed(z["ta"], z["tb"], z["tc"], ctx, src)))
         return F.when(F.size(x["r8"]) + F.size(x["ta"]) > 0, F.concat(eight.cast(_RAW), three.cast(_RAW))).otherwise(rest(x).cast(_RAW))
 
-    return hold(df, _raws=F.when(F.size("_tokens") > 0, F.flatten(F.transform("_tokens", triples))).otherwise(none)).drop("_tokens")
+    yield held(_raws=F.when(F.size("_tokens") > 0, F.flatten(F.transform("_tokens", triples))).otherwise(none))
 
 
-def joined_triples(df: DataFrame) -> DataFrame:
+@steps
+def joined_triples():
     """_joins: three neighbours within a run of tokens that are 1 to 4 digits each; context is the token before the run. Wants _norm."""
-    df = hold(df, _bare=F.transform("_norm", strip))
-    df = hold(df, _digits=F.transform("_bare", lambda t: t.rlike(U + r"\A\d{1,4}\z")))
+    yield held(_bare=F.transform("_norm", strip))
+    yield held(_digits=F.transform("_bare", lambda t: t.rlike(U + r"\A\d{1,4}\z")))
     at = lambda i, k: F.get("_bare", i + k)
     starts = F.filter(F.sequence(F.lit(0), F.size("_bare") - 3), lambda i: F.get("_digits", i) & F.get("_digits", i + 1) & F.get("_digits", i + 2))
     before = lambda i: F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: ~F.get("_digits", j)))
@@ -129,10 +162,11 @@ def joined_triples(df: DataFrame) -> DataFrame:
     kind = "array<struct<a:int,b:int,c:int,ctx:string,bonus:int>>"
     found = F.transform(starts, lambda i: F.struct(at(i, 0).try_cast("int").alias("a"), at(i, 1).try_cast("int").alias("b"), at(i, 2).try_cast("int").alias("c"), F.coalesce(F.get("_bare", before(i)), F.lit("")).alias("ctx"), F.when(four(i), fixed.JOINED_YEAR).otherwise(0).alias("bonus")))
     some = (F.size("_bare") >= 3) & (F.size(F.filter("_digits", lambda x: x)) >= 3)
-    return hold(df, _joins=F.when(some, found.cast(kind)).otherwise(F.array().cast(kind))).drop("_bare", "_digits")
+    yield held(_joins=F.when(some, found.cast(kind)).otherwise(F.array().cast(kind)))
 
 
-def scored(df: DataFrame, config: LabelConfig) -> DataFrame:
+@steps
+def scored(config: LabelConfig):
     """_cands: all candidates in order, scored; fallback ones only where there is no other. Wants _months, _raws, _joins and _all, the tokens joined and without noise."""
     reason = lambda on, name: F.when(on, F.array(F.lit(fixed.WHY[name]))).otherwise(F.array().cast("array<string>"))
     one = F.size(F.array_distinct(F.transform("_raws", lambda r: r["ctx"]))) == 1
@@ -140,7 +174,7 @@ def scored(df: DataFrame, config: LabelConfig) -> DataFrame:
     def read(r: Column) -> Column:
         return let(read_triple(r["a"], r["b"], r["c"], config), lambda s: F.when(s.isNotNull(), F.struct(valid_cells(s["y"], s["m"], s["d"]).alias("v"), s["rule"].alias("rule"), r.alias("r"))))
 
-    df = hold(df, _read=F.filter(F.transform("_raws", read), lambda x: x.isNotNull() & (cells(x["v"]) > 0)), _exp_any=F.when(F.size("_raws") > 0, any_of(F.col("_all"), fixed.EXPIRY_WORDS)).otherwise(F.lit(False)), _one=one)
+    yield held(_read=F.filter(F.transform("_raws", read), lambda x: x.isNotNull() & (cells(x["v"]) > 0)), _exp_any=F.when(F.size("_raws") > 0, any_of(F.col("_all"), fixed.EXPIRY_WORDS)).otherwise(F.lit(False)), _one=one)
 
     def weigh(x: Column) -> Column:
         r, v = x["r"], x["v"]
@@ -163,19 +197,19 @@ def scored(df: DataFrame, config: LabelConfig) -> DataFrame:
 
     joins = F.filter(F.transform("_joins", read), lambda x: x.isNotNull() & (cells(x["v"]) == 3))
     everything = F.concat(F.col("_months"), F.transform("_read", weigh).cast(CANDIDATE), F.transform(joins, weigh_joined).cast(CANDIDATE))
-    df = hold(df, _every=everything)
+    yield held(_every=everything)
     sure = F.filter("_every", lambda c: ~c["fb"])
-    return hold(df, _cands=let(sure, lambda s: F.when(F.size(s) > 0, s).otherwise(F.col("_every")))).drop("_read", "_exp_any", "_one", "_every", "_months", "_raws", "_joins")
+    yield held(_cands=let(sure, lambda s: F.when(F.size(s) > 0, s).otherwise(F.col("_every"))))
 
 
-def clean_tokens(df: DataFrame, texts: str, config: LabelConfig) -> DataFrame:
+@steps
+def clean_tokens(texts: str, config: LabelConfig):
     """_norm: tokens in normal form; _clean: without noise; _all: joined, without noise; _dropped: the noise."""
-    from ..functions.text import colon_date, nfkc_arrow, nfkc_native, noise
-
     if config.nfkc == "arrow":
-        df = df.withColumn("_nfkc", nfkc_arrow(F.col(texts)))
-        df = hold(df, _norm=F.transform("_nfkc", colon_date)).drop("_nfkc")
+        yield nfkc_arrow(F.col(texts)).alias("_nfkc")
+        yield held(_norm=F.transform("_nfkc", colon_date))
     else:
-        df = hold(df, _norm=F.transform(texts, lambda t: colon_date(nfkc_native(t))))
+        yield held(_norm=F.transform(texts, lambda t: colon_date(nfkc_native(t))))
     joined = F.array_join("_norm", " ")
-    return hold(df, _clean=F.transform("_norm", strip_noise), _all=strip_noise(joined), _dropped=noise(joined))
+    digits = joined.rlike(U + r"\d")  # all noise has some
+    yield held(_clean=F.transform("_norm", lambda t: F.when(t.rlike(U + r"\d"), strip_noise(t)).otherwise(t)), _all=F.when(digits, strip_noise(joined)).otherwise(joined), _dropped=F.when(digits, noise(joined)).otherwise(F.array().cast("array<struct<text:string,label:string>>")))

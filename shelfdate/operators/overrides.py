@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import U, final_date, let
-from .candidates import hold
+from .candidates import held, steps
 
 I = U + "(?i)"  # noqa: E741
 
@@ -40,41 +40,42 @@ def _with(res: Column, on: Column, year: Column, month: Column, day: Column, why
     return F.when(on, new).otherwise(res)
 
 
-def override(df: DataFrame, name: str) -> DataFrame:
+@steps
+def override(name: str):
     """name: the result after all override rules. Wants _base and _rescued (results) and _joined (shaped tokens joined)."""
     base, rescued, joined = F.col("_base"), F.col("_rescued"), F.col("_joined")
-    df = hold(df, _eu=joined.rlike(I + fixed.EU_WORDS), _kr=joined.rlike(I + fixed.KR_WORDS))
+    yield held(_eu=joined.rlike(I + fixed.EU_WORDS), _kr=joined.rlike(I + fixed.KR_WORDS))
     none = base["final_date"] == "NONE"
     saved = rescued.withField("rule", F.concat(rescued["rule"], F.lit(f" + {fixed.WHY['rescued']}")))
     # day and month change places on goods with a barcode or words of the Americas
     swappable = ~none & base["rule"].contains("DD.MM.YY") & ~F.col("_eu")
     code = F.exists(F.regexp_extract_all(joined, F.lit(U + fixed.BARCODE), 1), lambda b: F.substring(F.lpad(b, 13, "0"), 1, 3).try_cast("int") <= fixed.US_PREFIX)
     us = swappable & base["day"].try_cast("int").between(1, 12) & (code | joined.rlike(I + fixed.US_WORDS))
-    df = hold(df, _r=F.when(none & (rescued["final_date"] != "NONE"), saved).otherwise(_with(base, us, base["year"], base["day"], base["month"], "us")))
+    yield held(_r=F.when(none & (rescued["final_date"] != "NONE"), saved).otherwise(_with(base, us, base["year"], base["day"], base["month"], "us")))
     # two-digit years behind, on European goods
     r = F.col("_r")
     zipped = F.arrays_zip(*[F.regexp_extract_all(joined, F.lit(U + fixed.EU_DATE), k).alias(f"g{k}") for k in (1, 2, 3)])
     wanted = lambda z: (r["final_date"] != F.concat_ws("-", F.concat(F.lit("20"), z["g3"]), z["g2"], z["g1"])) & ((r["final_date"] == "NONE") | r["final_date"].startswith(F.concat(F.lit("20"), z["g1"])) | r["final_date"].startswith("2030"))
-    df = hold(df, _e=F.when(F.col("_eu") & ~F.col("_kr"), F.get(F.filter(zipped, wanted), F.lit(0))))
+    yield held(_e=F.when(F.col("_eu") & ~F.col("_kr"), F.get(F.filter(zipped, wanted), F.lit(0))))
     e = F.col("_e")
-    df = hold(df, _r4=_with(r, e.isNotNull(), F.concat(F.lit("20"), e["g3"]), e["g2"], e["g1"], "eu"))
+    yield held(_r4=_with(r, e.isNotNull(), F.concat(F.lit("20"), e["g3"]), e["g2"], e["g1"], "eu"))
     # an expiry date beside a production date
     r, part = F.col("_r4"), lambda k: F.regexp_extract(joined, I + fixed.EXP_DATE, k).try_cast("int")
     y = F.when(F.length(F.regexp_extract(joined, I + fixed.EXP_DATE, 3)) == 2, part(3) + 2000).otherwise(part(3))
-    df = hold(df, _x=F.when(joined.rlike(I + fixed.EXP_DATE) & F.upper(joined).rlike("PROD|PRCR"), F.struct(F.format_string("%04d", y).alias("y"), F.format_string("%02d", part(2)).alias("m"), F.format_string("%02d", part(1)).alias("d"))))
+    yield held(_x=F.when(joined.rlike(I + fixed.EXP_DATE) & F.upper(joined).rlike("PROD|PRCR"), F.struct(F.format_string("%04d", y).alias("y"), F.format_string("%02d", part(2)).alias("m"), F.format_string("%02d", part(1)).alias("d"))))
     x = F.col("_x")
     cand = F.concat_ws("-", x["y"], x["m"], x["d"])
     later = x.isNotNull() & (r["final_date"] != cand) & ((r["final_date"] == "NONE") | (r["final_date"] < cand))
-    df = hold(df, _r5=_with(r, later, x["y"], x["m"], x["d"], "exp"))
+    yield held(_r5=_with(r, later, x["y"], x["m"], x["d"], "exp"))
     # dot-matrix misreadings, of what is still open; later ones replace earlier ones
     r = F.col("_r5")
     open_ = r["final_date"] == "NONE"
     got = lambda p, k: F.regexp_extract(joined, U + p, k)
     for pattern, why in ((fixed.DOT_6, "dot"), (fixed.DOT_W, "w")):
         r = _with(r, open_ & joined.rlike(U + pattern), got(pattern, 1), F.concat(F.lit("0"), got(pattern, 2)), got(pattern, 3), why)
-        df = hold(df, **{f"_r6{why}": r, f"_o{why}": open_})
+        yield held(**{f"_r6{why}": r, f"_o{why}": open_})
         r, open_ = F.col(f"_r6{why}"), F.col(f"_o{why}")
     r = _with(r, open_ & joined.rlike(U + fixed.DOT_9EP), got(fixed.DOT_9EP, 2), F.lit("09"), F.format_string("%02d", got(fixed.DOT_9EP, 1).try_cast("int")), "9ep")
-    df = hold(df, _r7=r)
+    yield held(_r7=r)
     r = F.col("_r7")
-    return df.withColumn(name, r.withField("final_date", final_date(r["year"], r["month"], r["day"])))
+    yield r.withField("final_date", final_date(r["year"], r["month"], r["day"])).alias(name)

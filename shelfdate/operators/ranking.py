@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.dates import LabelConfig, cells
 from ..functions.text import cell, let
-from .candidates import hold
+from .candidates import LEFT, held, steps
 
 RESULT = "struct<year:string,month:string,day:string,final_date:string,rule:string,score:double,margin:int,dropped:array<struct<text:string,label:string>>,alts:array<string>,votes:int,all_cands:array<struct<y:int,m:int,d:int>>>"
 
@@ -19,7 +19,8 @@ def date_key(c: Column) -> Column:
     return zero(c["y"]) * 10000 + zero(c["m"]) * 100 + zero(c["d"])
 
 
-def voted(df: DataFrame, config: LabelConfig) -> DataFrame:
+@steps
+def voted(config: LabelConfig):
     """_cands with votes: how many reading paths gave the same cells, nulls alike. Two or more are told in why and may earn a bonus."""
     bonus = dict(config.votes)
     some = F.exists("_cands", lambda c: c["src"].isNotNull())
@@ -29,8 +30,8 @@ def voted(df: DataFrame, config: LabelConfig) -> DataFrame:
         n = F.when(F.col("_some"), F.size(F.array_distinct(F.transform(F.filter("_cands", lambda o: same(c, o)), lambda o: o["src"])))).otherwise(0)
         return let(n, lambda k: F.struct((c["score"] + _bonus(k, bonus)).alias("score"), F.when(k >= 2, F.concat(c["why"], F.array(F.concat(k.cast("string"), F.lit("개 경로 일치"))))).otherwise(c["why"]).alias("why"), c["y"].alias("y"), c["m"].alias("m"), c["d"].alias("d"), k.alias("votes")))
 
-    df = hold(df, _some=some)
-    return hold(df, _voted=F.transform("_cands", count)).drop("_some", "_cands")
+    yield held(_some=some)
+    yield held(_voted=F.transform("_cands", count))
 
 
 def _bonus(votes: Column, bonus: dict[int, int]) -> Column:
@@ -41,10 +42,11 @@ def _bonus(votes: Column, bonus: dict[int, int]) -> Column:
     return out
 
 
-def ranked(df: DataFrame) -> DataFrame:
+@steps
+def ranked():
     """_ranked: candidates by score, cells and date, each falling, then in the order they were found."""
     keyed = F.transform("_voted", lambda c, i: F.struct((-c["score"]).alias("k1"), (-cells(c)).alias("k2"), (-date_key(c)).alias("k3"), i.alias("k4"), c.alias("c")))
-    return hold(df, _ranked=F.transform(F.array_sort(keyed), lambda x: x["c"])).drop("_voted")
+    yield held(_ranked=F.transform(F.array_sort(keyed), lambda x: x["c"]))
 
 
 def confidence(margin: Column) -> Column:
@@ -54,7 +56,8 @@ def confidence(margin: Column) -> Column:
     return F.coalesce(out, F.round(F.least(F.lit(0.99), 0.45 + margin / 120), 2))
 
 
-def best(df: DataFrame, name: str) -> DataFrame:
+@steps
+def best(name: str):
     """Column name: the result of the first ranked candidate. Wants _ranked and _dropped."""
     top, second = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
 
@@ -67,4 +70,5 @@ def best(df: DataFrame, name: str) -> DataFrame:
 
     none = F.lit("NONE")
     empty = F.struct(none, none, none, none, F.lit(fixed.WHY["none"]), F.lit(0.0), F.lit(0), F.col("_dropped"), F.array().cast("array<string>"), F.lit(None).cast("int"), F.array().cast("array<struct<y:int,m:int,d:int>>")).cast(RESULT)
-    return hold(df, **{name: F.when(F.size("_ranked") > 0, let(top, told)).otherwise(empty)}).drop("_ranked", "_dropped")
+    yield held(**{name: F.when(F.size("_ranked") > 0, let(top, told)).otherwise(empty)})
+    yield LEFT

@@ -53,6 +53,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.add_months(F.to_date("l_shipdate"), 300).alias("d"), "l_partkey", "l_suppkey", "l_quantity")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files are too few to be: resolving is worth more than moving a short label."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _fmt(pattern: str, of: str = "d") -> Column:
     return F.date_format(of, pattern)
 
@@ -60,7 +66,7 @@ def _fmt(pattern: str, of: str = "d") -> Column:
 def _resolve(df: DataFrame, *texts: Column, keys: tuple[str, ...] = ("id",), more: tuple[str, ...] = (), config: LabelConfig = CONFIG) -> DataFrame:
     """keys and the cells, date and margin of labels made of these tokens."""
     none = F.lit(None).cast("string")
-    labels = df.select(*keys, F.array(*[F.struct(t.alias("text"), none.alias("src")) for t in texts]).alias("items"))
+    labels = _spread(df.select(*keys, F.array(*[F.struct(t.alias("text"), none.alias("src")) for t in texts]).alias("items")))
     return resolve_dates(labels, config).select(*keys, "year", "month", "day", "final_date", *more)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import LabelConfig
 from ..functions.text import shape
-from ..operators.candidates import clean_tokens, hold, joined_triples, month_candidates, number_triples, scored
+from ..operators.candidates import clean_tokens, held, hold, joined_triples, month_candidates, number_triples, scored, steps
 from ..operators.overrides import override, rescue_shapes
 from ..operators.ranking import best, ranked, voted
 
@@ -31,7 +31,7 @@ def resolve_core(df: DataFrame, texts: str, name: str, config: LabelConfig) -> D
     df = number_triples(df, config)
     df = joined_triples(df)
     df = scored(df, config)
-    return best(ranked(voted(df.drop("_norm", "_clean", "_all"), config)), name)
+    return best(ranked(voted(df, config)), name)
 
 
 def resolve_core_only(tokens: DataFrame, config: LabelConfig | None = None) -> DataFrame:
@@ -41,15 +41,23 @@ def resolve_core_only(tokens: DataFrame, config: LabelConfig | None = None) -> D
     return df.select(*[F.col(f"`{c}`") for c in tokens.columns], *[F.col(f"_result.{f}").alias(f) for f in FIELDS])
 
 
+@steps
+def _shaped():
+    items = F.coalesce("items", F.array().cast("array<struct<text:string,src:string>>"))
+    yield held(_texts=F.transform(items, lambda x: shape(F.coalesce(x["text"], F.lit("")))), _srcs=F.transform(items, lambda x: x["src"]))
+
+
+@steps
+def _second_try():
+    """The second try is for rows without a whole date; others hand it no tokens."""
+    again = F.when(F.col("_base.final_date") == "NONE", F.transform("_texts", rescue_shapes)).otherwise(F.array().cast("array<string>"))
+    yield held(_again=again, _joined=F.array_join("_texts", " "))
+
+
 def resolve_dates(tokens: DataFrame, config: LabelConfig | None = None) -> DataFrame:
     """tokens and the result columns. tokens: items, array of text and src in reading order (null or empty: nothing is found), and any other columns but those of FIELDS."""
     config = config or LabelConfig()
-    items = F.coalesce("items", F.array().cast("array<struct<text:string,src:string>>"))
-    df = hold(tokens, _texts=F.transform(items, lambda x: shape(F.coalesce(x["text"], F.lit("")))), _srcs=F.transform(items, lambda x: x["src"]))
-    df = resolve_core(df, "_texts", "_base", config)
-    # the second try is for rows without a whole date; others hand it no tokens
-    again = F.when(F.col("_base.final_date") == "NONE", F.transform("_texts", rescue_shapes)).otherwise(F.array().cast("array<string>"))
-    df = hold(df, _again=again, _joined=F.array_join("_texts", " "))
-    df = resolve_core(df, "_again", "_rescued", config)
+    df = resolve_core(_shaped(tokens), "_texts", "_base", config)
+    df = resolve_core(_second_try(df), "_again", "_rescued", config)
     df = override(df, "_result")
     return df.select(*[F.col(f"`{c}`") for c in tokens.columns], *[F.col(f"_result.{f}").alias(f) for f in FIELDS])
