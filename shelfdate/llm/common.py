@@ -21,6 +21,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
 
+#: Rows that are worked on at once: bounds a worker's memory, whatever the size of Spark's batches.
+SLICE = 1000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, SLICE):
+        yield batch.slice(i, SLICE)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """Applies make()(batch) to every Arrow batch; make() runs once for each task, so that tables are built once."""
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -32,8 +41,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 out = each(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
 

@@ -8,10 +8,10 @@ similarity of 0.8 a pair misses all bands with a probability under 1e-5. Candida
 the probability Jaccard similarity of the weighted shingles, or the Jaccard similarity of the shingle sets, is 0.8 or more.
 
 Equal texts are one node. Within a bucket every node is first held against one leader; then, in buckets that still hold
-nodes of several components, pairs across components, but for those that an exact bound rules out: shingles that no other
-of these nodes has can't be in common, which leaves most heavily edited copies no partner. Pairs inside a component are
-never made, as they add nothing to the classes: so a bucket of copies costs as many pairs as it has nodes, and no link is
-lost.
+nodes of several components, pairs across components. Two tests spare most of those: an exact bound (shingles that no
+other of these nodes has can't be in common), and the registers' own estimate, as far below the wanted similarity as links
+are with a probability under 1e-5. Pairs inside a component are never made, as they add nothing to the classes: so a bucket
+of copies costs as many pairs as it has nodes, and no link is lost but with the probabilities named.
 
 Cases: null and empty texts, and texts without words, are like nothing, and each row is its own class; the class of others
 is the least doc_id in it (null if all are null); repeated rows are in one class; empty tables give no rows; other columns
@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned, map_rows, written
+from .common import cleaned, map_rows, slices, written
 from .quality import _MIX, Laid, _mix, laid
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
+#: Bits of each register that are kept for estimates. At a similarity of 0.8, or at the wanted one, fewer registers than the mean less NEVER standard deviations agree with a probability under 1e-5.
+PLANES, NEVER = 4, 4.4
 #: Arrivals drawn at once, about.
 DRAW = 1 << 15
 
@@ -97,6 +99,26 @@ def bands(sig: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def planes(sig: np.ndarray, bits: int = PLANES) -> np.ndarray:
+    """The lowest bits of every register, bit by bit packed into words: registers agree where all their bits do."""
+    words = -(-sig.shape[1] // 64)
+    out = np.zeros((len(sig), bits, words), np.uint64)
+    mixed = _mix(sig)
+    for k in range(bits):
+        bit = (mixed >> np.uint64(k)) & np.uint64(1)
+        for w in range(words):
+            part = bit[:, 64 * w : 64 * w + 64]
+            out[:, k, w] = (part << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return out.reshape(len(sig), bits * words).view(np.int64)
+
+
+def _agreeing(a: str, b: str, bits: int = PLANES, registers: int = BANDS * ROWS) -> str:
+    """How many registers of two columns of planes agree."""
+    words = -(-registers // 64)
+    same = [f"bit_count({' | '.join(f'({a}[{k * words + w}] ^ {b}[{k * words + w}])' for k in range(bits))})" for w in range(words)]
+    return f"({registers} - ({' + '.join(same)}))"
+
+
 def weights(count: np.ndarray) -> np.ndarray:
     return 1 + np.log(count)
 
@@ -128,22 +150,23 @@ def probability_jaccard(wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.n
 
 
 def _nodes(df: DataFrame) -> DataFrame:
-    """doc_id, node (md5 of the text; null for texts without words) and its bands."""
+    """doc_id, node (md5 of the text; null for texts without words), its bands and planes."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            nodes, keys = [], []
+            nodes, keys, bits = [], [], []
             for _, raws, x in laid(batch.column(1).to_pylist()):
                 doc, key, count = shingles(x)
-                found = bands(signatures(doc, key, weights(count), x.n))
+                sig = signatures(doc, key, weights(count), x.n)
                 has = np.bincount(x.word_doc, minlength=x.n) > 0
                 nodes += [hashlib.md5(r).digest() if h else None for r, h in zip(raws, has, strict=True)]
-                keys += [f if h else None for f, h in zip(found, has, strict=True)]
-            return {"doc_id": batch.column(0), "node": nodes, "bands": keys}
+                for into, found in ((keys, bands(sig)), (bits, planes(sig))):
+                    into += [f if h else None for f, h in zip(found, has, strict=True)]
+            return {"doc_id": batch.column(0), "node": nodes, "bands": keys, "planes": bits}
 
         return each
 
-    return map_rows(df, make, "doc_id long, node binary, bands array<long>")
+    return map_rows(df, make, "doc_id long, node binary, bands array<long>, planes array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -152,9 +175,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             text = dict(zip(a, batch.column(2).to_pylist(), strict=True)) | dict(zip(b, batch.column(3).to_pylist(), strict=True))
             known, names = {}, list(text)
@@ -237,10 +258,15 @@ def links(df: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[D
         return first, labels
     profiles = _profiles(open_.select("node").distinct(), texts)
     able = profiles.where(f"n - u >= {least - 1e-9} * n or (multi and w - v >= {least - 1e-9} * w)")
-    known = written(open_.join(able, "node"))
+    signed = nodes.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("planes").alias("planes"))
+    known = written(open_.join(able.join(signed, "node"), "node"))
     cleaned(spark)
-    side = lambda x: known.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c[0] if c != 'label' else 'l'}{x}") for c in ("label", "n", "u", "w", "v", "multi")])
-    across = side("a").join(side("b"), ["band", "key"]).where(f"la <> lb and a < b and {_possible(least)}").select("a", "b").distinct()
+    side = lambda x: known.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("label", "n", "u", "w", "v", "multi", "planes")], F.col("bands").alias(f"bands{x}"))
+    # of the bands that a pair shares, the first makes it; registers can't show so much less than the wanted similarity
+    agree = least + (1 - least) / (1 << PLANES)
+    enough = BANDS * ROWS * (agree - NEVER * (agree * (1 - agree) / (BANDS * ROWS)) ** 0.5)
+    likely = f"(ma or mb or {_agreeing('pa', 'pb')} >= {enough:.3f}) and array_position(zip_with(bandsa, bandsb, (x, y) -> x = y), true) = band + 1"
+    across = side("a").join(side("b"), ["band", "key"]).where(f"la <> lb and a < b and {_possible(least)} and {likely}").select("a", "b")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = written(_verified(across.join(done, ["a", "b"], "left_anti"), texts, least))
     cleaned(spark)

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick
+from .common import map_rows, pick, slices
 
 #: Labelled rows that the regression is fitted on at most: those whose ids hash lowest.
 SAMPLE = 2400
 BUCKETS, KEEP = 2048, 0.5
 #: Bytes of text laid out at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _SYMBOL = np.zeros(256, bool)
@@ -36,7 +36,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 def _powers(n: int, base: int, known: dict = {}) -> np.ndarray:  # noqa: B006
     if len(have := known.get(base, ())) < n:
-        have = known[base] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, CHUNK) * 2, base, dtype=np.uint64), dtype=np.uint64)])
+        have = known[base] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 2 * CHUNK), base, dtype=np.uint64), dtype=np.uint64)])
     return have[:n]
 
 
@@ -243,8 +243,8 @@ def keep_good(df: DataFrame, model: Model | None, keep: float = KEEP) -> DataFra
     """The rows of df, with all their columns, whose text is kept."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array(verdicts(texts, held.value, keep)["kept"]))
 

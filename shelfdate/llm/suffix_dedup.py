@@ -36,7 +36,7 @@ SPAN, KEY = 100, 32
 #: Unlike snippets of one key that a bucket takes, and snippets of a bucket, about.
 LIMIT, BUCKET = 200, 2000
 #: Bytes of snippets in a shard, and of text that is laid out at once.
-SHARD, CHUNK = 1 << 16, 1 << 20
+SHARD, CHUNK = 1 << 16, 1 << 19
 _BASE = 0x5851F42D4C957F2D | 1
 
 
