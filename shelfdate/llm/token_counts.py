@@ -34,6 +34,8 @@ LATIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{0}]+| ?[{1}]+| ?[^{0}{1}{2}]+|[{2}
 #: Pre-tokens remembered by one task; beyond it the memory starts anew.
 MEMORY = 300_000
 NEVER = 1 << 60
+#: Characters from which a pre-token is long.
+LONG = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -191,6 +193,14 @@ class PrefixTable:
         if self.total <= budget:
             return len(self.text)
         j = max(0, bisect_right(self.totals, budget) - 1)
+        if j < len(self.pieces) and len(self.pieces[j]) > LONG:
+            # any two or more characters of a long pre-token are one pre-token, so that its table of prefixes has them all
+            counts, place, fits = self.counter.prefixes(self.pieces[j].encode()), 0, 0
+            for k, c in enumerate(self.pieces[j], 1):
+                place += len(c.encode())
+                if k > 1 and self.totals[j] + counts[place] <= budget:
+                    fits = k
+            return self.starts[j] + fits if fits else max(c for c in (self.starts[j], self.starts[j] + 1) if self.count(c) <= budget or c == self.starts[j])
         best = max(0, self.starts[max(0, j - 1)])
         for chars in range(min(len(self.text), self.starts[min(j + 1, len(self.pieces))]), best - 1, -1):
             if self.count(chars) <= budget:
