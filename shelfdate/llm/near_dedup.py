@@ -32,6 +32,8 @@ from .quality import _MIX, Laid, _mix, laid
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
+#: Registers of a signature: the bands use the first of them, estimates all.
+REGISTERS = 400
 #: Bits of each register that are kept for estimates. At a similarity of 0.8, or at the wanted one, fewer registers than the mean less NEVER standard deviations agree with a probability under 1e-5.
 PLANES, NEVER = 4, 4.4
 #: Arrivals drawn at once, about.
@@ -65,7 +67,7 @@ def shingles(x: Laid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], key[at], np.diff(np.append(at, len(key)))
 
 
-def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, registers: int = BANDS * ROWS) -> np.ndarray:
+def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
     """n by registers: the shingle that arrived first at each register of each text; 0 for texts without shingles."""
     early = np.full(n * registers, np.inf)
     owner = np.zeros(n * registers, np.uint64)
@@ -112,7 +114,7 @@ def planes(sig: np.ndarray, bits: int = PLANES) -> np.ndarray:
     return out.reshape(len(sig), bits * words).view(np.int64)
 
 
-def _agreeing(a: str, b: str, bits: int = PLANES, registers: int = BANDS * ROWS) -> str:
+def _agreeing(a: str, b: str, bits: int = PLANES, registers: int = REGISTERS) -> str:
     """How many registers of two columns of planes agree."""
     words = -(-registers // 64)
     same = [f"bit_count({' | '.join(f'({a}[{k * words + w}] ^ {b}[{k * words + w}])' for k in range(bits))})" for w in range(words)]
@@ -264,7 +266,7 @@ def links(df: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[D
     side = lambda x: known.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("label", "n", "u", "w", "v", "multi", "planes")], F.col("bands").alias(f"bands{x}"))
     # of the bands that a pair shares, the first makes it; registers can't show so much less than the wanted similarity
     agree = least + (1 - least) / (1 << PLANES)
-    enough = BANDS * ROWS * (agree - NEVER * (agree * (1 - agree) / (BANDS * ROWS)) ** 0.5)
+    enough = REGISTERS * (agree - NEVER * (agree * (1 - agree) / REGISTERS) ** 0.5)
     likely = f"(ma or mb or {_agreeing('pa', 'pb')} >= {enough:.3f}) and array_position(zip_with(bandsa, bandsb, (x, y) -> x = y), true) = band + 1"
     across = side("a").join(side("b"), ["band", "key"]).where(f"la <> lb and a < b and {_possible(least)} and {likely}").select("a", "b")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
