@@ -89,7 +89,6 @@ class Pieces:
         self.cut = (lambda s: [s] if s else []) if crosses else re.compile(cut + ("|\n" if line else "")).findall
         self.keep = re.compile("(" + "|".join(map(re.escape, self.own)) + ")") if self.own else None
         self.memory = _Cuts(self)
-        self.shown: dict[str, str | None] = {}
         self.numbers = _Numbers(self)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray | None]:
@@ -135,7 +134,7 @@ class Pieces:
         if len(cut) > 64:
             return self._merge_long(cut)
         score, parts = self.score, list(cut)
-        pairs = [score.get(cut[i : i + 2], NEVER) for i in range(len(cut) - 1)]
+        pairs = [score.get(a + b, NEVER) for a, b in zip(cut, cut[1:], strict=False)]
         while pairs and (best := max(pairs)) != NEVER:
             i = pairs.index(best)
             parts[i : i + 2] = [p := parts[i] + parts[i + 1]]
@@ -242,10 +241,10 @@ class Pieces:
         if not (cuts := self.cuts(normalised)):
             return len(end), hashlib.sha256("".join(end).encode()).hexdigest(), hashlib.sha256(b"").hexdigest()
         joined = " ".join([*map(self.numbers.__getitem__, cuts), *end])
-        try:
-            decoded = "".join(map(self.shown.__getitem__, cuts))
+        if self.numbers.odd.isdisjoint(cuts):  # of each cut the surfaces of its ids are the cut
+            decoded = "".join(cuts)
             decoded = (decoded[1:] if self.dummy and decoded[0] == SPACE else decoded).replace(SPACE, " ")
-        except (TypeError, KeyError):  # byte pieces, or a surface that has gone from memory
+        else:
             decoded = self.decode([int(i) for c in cuts for i in self.numbers[c].split(" ")])
         return joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
@@ -264,18 +263,17 @@ class _Cuts(dict):
 
 
 class _Numbers(dict):
-    """Ids of a cut as text; beside it, the text of their surfaces goes to shown, None where that isn't whole characters. The rarer half goes when it is full."""
+    """Ids of a cut as text; odd: the cuts that the surfaces of their ids don't give back. The rarer half goes when it is full."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.old = pieces, {}
+        self.pieces, self.old, self.odd = pieces, {}, set()
+        self.text = {p: str(i) for p, i in pieces.id.items()}
 
     def __missing__(self, cut: str) -> str:
         if (found := self.old.get(cut)) is None:
             found = self.make(cut)
         if len(self) > MEMORY:
-            shown = self.pieces.shown
-            for gone in self.old.keys() - self.keys():
-                shown.pop(gone, None)
+            self.odd &= self.keys()
             self.old = dict(self)
             self.clear()
         self[cut] = found
@@ -283,9 +281,14 @@ class _Numbers(dict):
 
     def make(self, cut: str) -> str:
         pieces = self.pieces
+        if not pieces.strip:
+            try:  # pieces joined are the cut
+                return " ".join([self.text[p] for p in ((cut,) if cut in pieces.own else pieces.merge(cut))])
+            except KeyError:
+                pass
         ids = (pieces.id[cut],) if cut in pieces.own else pieces.ids_of(cut)[0]
-        raw = b"".join([pieces.surface[i] for i in ids])
-        pieces.shown[cut] = cut if raw == cut.encode() and not pieces.strip else None
+        if pieces.strip or b"".join([pieces.surface[i] for i in ids]) != cut.encode():
+            self.odd.add(cut)
         return " ".join(map(str, ids))
 
 
