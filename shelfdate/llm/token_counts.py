@@ -34,6 +34,8 @@ LATIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{0}]+| ?[{1}]+| ?[^{0}{1}{2}]+|[{2}
 #: Pre-tokens remembered by one task; beyond it the memory starts anew.
 MEMORY = 300_000
 NEVER = 1 << 60
+#: Bytes up to which the program's state for a prefix is kept for other pre-tokens that begin alike.
+SHARED = 7
 #: Characters from which a pre-token is long.
 LONG = 64
 
@@ -61,6 +63,7 @@ class PrefixCounter:
         self.find_any, self.find_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
+        self.begun: dict[bytes, tuple[bytes, int]] = {}
         self.counts = _Counts(self)
 
     def encode(self, piece: bytes) -> list[bytes]:
@@ -116,12 +119,21 @@ class PrefixCounter:
         """prefixes(p)[i] is the number of tokens of p[:i]."""
         last: list[bytes] = [b""]
         count = [0]
+        known = self.begun
         for i in range(1, len(piece) + 1):
+            if i <= SHARED and (state := known.get(piece[:i])) is not None:
+                last.append(state[0])
+                count.append(state[1])
+                continue
             for n in range(min(i, self.longest), 0, -1):
                 t = piece[i - n : i]
                 if t in self.tokens and (self._single(t) if n == i else self._stays(last[i - n], t)):
                     last.append(t)
                     count.append(count[i - n] + 1)
+                    if i <= SHARED:
+                        if len(known) > MEMORY:
+                            known.clear()
+                        known[piece[:i]] = t, count[i]
                     break
             else:
                 raise AssertionError("no last token fits")
