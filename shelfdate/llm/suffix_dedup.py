@@ -82,9 +82,13 @@ def _chunks(texts: list[bytes]):
 
 
 def sort_shard(codes: np.ndarray, follow: np.ndarray, depth: int) -> np.ndarray:
-    """Order of a shard's rotations by their first depth symbols, by rank doubling. follow: the place after each in its snippet, around its end."""
-    _, rank = np.unique(codes, return_inverse=True)
-    have, ahead = 1, follow
+    """Order of a shard's rotations by their first depth symbols (bytes) or more, by rank doubling. follow: the place after each in its snippet, around its end."""
+    key, ahead, have = np.zeros(len(codes), np.uint64), np.arange(len(codes)), 0
+    while have < min(8, depth):  # the first symbols, packed into a word
+        key = key << np.uint64(8) | codes[ahead]
+        ahead = follow[ahead]
+        have += 1
+    _, rank = np.unique(key, return_inverse=True)
     while have < depth:
         key = rank.astype(np.int64) * (int(rank.max()) + 1) + rank[ahead]
         _, rank = np.unique(key, return_inverse=True)
