@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned, map_rows, slices, written
+from .common import cleaned, dropped, map_rows, slices, written
 from .quality import _MIX, Laid, _mix, laid
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -238,7 +238,6 @@ def _possible(least: float) -> str:
 def links(df: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links a, b between unlike texts that hold all classes together, and the labels of their nodes. nodes: doc_id, node, bands of df's rows."""
     spark = df.sparkSession
-    texts = df.where("text is not null").groupBy(F.expr("unhex(md5(cast(text as binary)))").alias("node")).agg(F.first("text").alias("text"))
     distinct = nodes.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     places = distinct.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = places.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -249,6 +248,14 @@ def links(df: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[D
     met = shared.join(company, "node").select("band", "key", "node", F.struct("company", "node").alias("rank"))
     leaders = met.groupBy("band", "key").agg(F.max("rank").alias("m")).select("band", "key", F.col("m.node").alias("leader"))
     members = written(shared.select("band", "key", "node").join(leaders, ["band", "key"]))
+    dropped(shared)
+    # the texts of nodes with company, once each; the rest isn't moved again
+    wanted = df.where("text is not null").select(F.expr("unhex(md5(cast(text as binary)))").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
+    copies = written(wanted)
+    cleaned(spark)
+    texts = written(copies.groupBy("node").agg(F.first("text").alias("text")))
+    dropped(copies)
+    cleaned(spark)
     stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     first = written(_verified(stars, texts, least))
     cleaned(spark)
