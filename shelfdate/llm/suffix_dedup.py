@@ -268,7 +268,9 @@ def ranges(df: DataFrame, span: int = SPAN, key: int = KEY) -> DataFrame:
     copies = own.select("doc_id", "t", "node", F.octet_length("text").cast("long").alias("z")).where(F.col("z") >= span).join(first, "node").where(place != F.col("rep")).select("doc_id", "t", F.lit(0).cast("long").alias("a"), "z")
     found = written(copies)
     anchors = texts.select(F.col("rep.doc_id").alias("doc_id"), F.explode(F.arrays_zip("keys", "starts")).alias("x")).select("doc_id", F.col("x.starts").alias("start"), F.col("x.keys").alias("key"))
-    twice = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written, so that the join deals both of its sides itself and can split an anchor that very many texts have
+    twice = written(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    cleaned(spark)
     listed = written(anchors.join(twice, "key").groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
     dropped(texts)
     cleaned(spark)
@@ -281,7 +283,7 @@ def ranges(df: DataFrame, span: int = SPAN, key: int = KEY) -> DataFrame:
         light = named.select("doc_id", "t", "start", "windows", "key", "name")
         alike = light.groupBy("key", "name").agg(F.min(place).alias("p"), F.count("*").alias("n"))
         sized = alike.groupBy("key").agg(F.count("*").alias("unlike"))
-        kept = written(alike.join(sized, "key").where("n > 1 or unlike > 1"))
+        kept = written(written(alike).join(written(sized), "key").where("n > 1 or unlike > 1"))
         cleaned(spark)
         late = light.join(kept.where("n > 1").select("key", "name", "p"), ["key", "name"]).where(place != F.col("p")).select("doc_id", "t", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (span - 1)).alias("z"))
         gone = written(late)
