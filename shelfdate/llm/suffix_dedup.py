@@ -281,9 +281,10 @@ def ranges(df: DataFrame, span: int = SPAN, key: int = KEY) -> DataFrame:
         named = written(rows.withColumn("name", F.xxhash64("snippet", "at")))
         cleaned(spark)
         light = named.select("doc_id", "t", "start", "windows", "key", "name")
-        alike = light.groupBy("key", "name").agg(F.min(place).alias("p"), F.count("*").alias("n"))
-        sized = alike.groupBy("key").agg(F.count("*").alias("unlike"))
-        kept = written(written(alike).join(written(sized), "key").where("n > 1 or unlike > 1"))
+        alike = written(light.groupBy("key", "name").agg(F.min(place).alias("p"), F.count("*").alias("n")))
+        sized = written(alike.groupBy("key").agg(F.count("*").alias("unlike")))
+        kept = written(alike.join(sized, "key").where("n > 1 or unlike > 1"))
+        dropped(alike)
         cleaned(spark)
         late = light.join(kept.where("n > 1").select("key", "name", "p"), ["key", "name"]).where(place != F.col("p")).select("doc_id", "t", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (span - 1)).alias("z"))
         gone = written(late)
