@@ -7,6 +7,13 @@ word in them that occur more than once, in any texts, keep their first occurrenc
 go. Chunks are compared byte by byte: the grouping key is their text. The two hashes of a chunk only bring the verdict back
 to its places; chunks whose hashes are alike while their bytes differ stay where they are.
 
+A chunk's ends depend on lines beside a passage, so that chunks alone miss short passages and the ends of long ones.
+dedup_passages and passage_digests, which the query and the pipeline use, therefore also look at every pair: a line with a
+word in it up to the next such line, blank lines between them included. What a chunk or a pair has of an earlier place goes.
+So every passage of two or more worded lines loses its later occurrences whole, whatever stands beside it. Each line that
+goes has an equal line that stays: the first of all equal lines is in no chunk or pair that is found earlier. A later chunk
+or pair is compared byte by byte with the first place that has its two hashes.
+
 Cases: null and empty texts have nothing to remove and stay as they are; a null id comes after all others; rows with the
 same id and text are one text, and each gets that text's result; empty tables give no rows; other columns pass through
 dedup_lines and are ignored by the digests.
@@ -79,16 +86,77 @@ def _cleaned(df: DataFrame, window: int) -> DataFrame:
     )
 
 
-def dedup_lines(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """df, its repeated chunks of lines removed from text; n_chars, if there, follows."""
-    out = _cleaned(df, window).withColumn("text", F.col("_kept"))
+#: Lines of a text, known as l in what follows: bound by a lambda, as Catalyst would put the split into every use of a column.
+_LINES = r"transform(array(split(text, '\n', -1)), l -> {})[0]"
+
+
+def _pairs() -> str:
+    """Array of (first line, lines, text) of each line with a word in it up to the next such line."""
+    worded = r"filter(sequence(0, size(l) - 1), i -> get(l, i) rlike '[^ \\t-\\r]')"
+    pair = r"named_struct('at', a, 'n', get(w, k + 1) - a + 1, 'text', array_join(slice(l, a + 1, get(w, k + 1) - a + 1), '\n'))"
+    return _LINES.format(f"transform(array({worded}), w -> transform(slice(w, 1, greatest(size(w) - 1, 0)), (a, k) -> {pair}))[0]")
+
+
+def repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """_id, _t and _gone: (first line, lines, text of the first place) of the chunks and pairs of that text whose hashes an earlier place has."""
+    own = _keyed(df.select(F.col("doc_id"), F.col("text"))).where("text is not null")
+    marks = (
+        with_chunks(own, window)
+        .select(*_KEY, F.explode(F.expr(rf"concat(filter(_chunks, c -> c.n > 1 and c.text rlike '[^ \\t-\\r]'), {_pairs()})")).alias("c"))
+        .select(*_KEY, F.col("c.at").alias("_at"), F.col("c.n").alias("_n"), F.xxhash64("c.text").alias("_a"), F.xxhash64(F.lit("second"), "c.text").alias("_b"))
+    )
+    place = F.struct(F.col("_id").isNull(), "_id", "_t", "_at", "_n")
+    often = marks.groupBy("_a", "_b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    # the text of every first place, taken from its document
+    asked = often.groupBy(F.col("first._id").alias("_fid"), F.col("first._t").alias("_ft")).agg(F.collect_list(F.struct("_a", "_b", "first")).alias("_asked"))
+    told = own.join(asked, own["_id"].eqNullSafe(asked["_fid"]) & (own["_t"] == asked["_ft"]))
+    texts = told.select(F.explode(F.expr(_LINES.format(r"transform(_asked, q -> named_struct('_a', q._a, '_b', q._b, 'first', q.first, '_text', array_join(slice(l, q.first._at + 1, q.first._n), '\n')))"))).alias("q")).select("q.*")
+    # written, so that the join below deals both of its sides itself and can split a piece that very many texts have
+    known = written(texts.dropDuplicates(["_a", "_b"]))
+    return marks.join(known, ["_a", "_b"]).where(place != F.col("first")).groupBy(*_KEY).agg(F.collect_set(F.struct(F.col("_at").alias("at"), F.col("_n").alias("n"), F.col("_text").alias("text"))).alias("_gone"))
+
+
+def _rid(df: DataFrame, window: int) -> DataFrame:
+    """df with _kept, the text that stays, _lines and _gone_lines."""
+    gone = repeats(df, window).withColumnRenamed("_id", "_gid").withColumnRenamed("_t", "_gt")
+    all_ = _keyed(df)
+    joined = all_.join(gone, all_["_id"].eqNullSafe(gone["_gid"]) & (all_["_t"] == gone["_gt"]), "left").drop("_gid", "_gt", *_KEY)
+    return (
+        joined.withColumn("_stay", F.expr(_LINES.format(r"array_except(sequence(0, size(l) - 1), flatten(transform(filter(_gone, g -> array_join(slice(l, g.at + 1, g.n), '\n') = g.text), g -> sequence(g.at, g.at + g.n - 1))))")))
+        .withColumn("_kept", F.expr("case when _gone is null then text else " + _LINES.format(r"array_join(transform(_stay, i -> get(l, i)), '\n')") + " end"))
+        .withColumn("_lines", F.expr(r"case when text is null then 0L else cast(size(split(text, '\n', -1)) as long) end"))
+        .withColumn("_gone_lines", F.expr("case when _gone is null then 0L else _lines - size(_stay) end"))
+        .drop("_stay", "_gone")
+    )
+
+
+def _with_text(df: DataFrame, cleaned: DataFrame) -> DataFrame:
+    out = cleaned.withColumn("text", F.col("_kept"))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone_lines") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def _digests(cleaned: DataFrame) -> DataFrame:
+    kept = F.coalesce("_kept", F.lit(""))
+    return cleaned.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone_lines").alias("n_removed"), F.length(kept).cast("long").alias("n_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+def dedup_lines(df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """df, its repeated chunks of lines removed from text; n_chars, if there, follows."""
+    return _with_text(df, _cleaned(df, window))
+
+
 def line_digests(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars and kept_sha256 of what stays of each text."""
-    out = _cleaned(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), window)
-    kept = F.coalesce("_kept", F.lit(""))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone_lines").alias("n_removed"), F.length(kept).cast("long").alias("n_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    return _digests(_cleaned(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), window))
+
+
+def dedup_passages(df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """As dedup_lines, with repeated pairs of lines removed too."""
+    return _with_text(df, _rid(df, window))
+
+
+def passage_digests(df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """As line_digests, with repeated pairs of lines removed too."""
+    return _digests(_rid(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), window))

@@ -79,9 +79,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import line_digests
+    from .line_dedup import passage_digests
 
-    return line_digests(table(spark, sf_dir, "documents"))
+    return passage_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:

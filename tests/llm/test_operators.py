@@ -511,6 +511,61 @@ def test_lines_of_awkward_rows(spark):
         assert r.text is None or r.n_chars in (1, len(r.text))
 
 
+def brute_passages(rows):
+    """Lines that go: those of a piece (chunk or pair) that an earlier place has, place by place."""
+    worded = lambda x: re.search(r"[^ \t-\r]", x)
+    turn = lambda h: ((h << 1) | (h >> 63)) & ((1 << 64) - 1)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    places, texts = collections.defaultdict(set), {}
+    for d, t in rows:
+        if t is None:
+            continue
+        lines = texts[d, t] = t.split("\n")
+        h = [_xx(x.encode()) & ((1 << 64) - 1) for x in lines]
+        roll = [signed(h[i] ^ (turn(h[i - 1]) if i else 0)) for i in range(len(h))]
+        ends = [i for i in range(len(lines)) if i == len(lines) - 1 or (i and roll[i] < roll[i - 1] and roll[i] < roll[i + 1])]
+        runs = [x for x in zip([0] + [e + 1 for e in ends[:-1]], ends, strict=True) if x[0] < x[1] and worded("\n".join(lines[x[0] : x[1] + 1]))]
+        full = [i for i, x in enumerate(lines) if worded(x)]
+        for a, z in runs + list(zip(full, full[1:], strict=False)):
+            places[tuple(lines[a : z + 1])].add((d is None, d or 0, _xx(t.encode()), a, z, d, t))
+    gone = {(p[5], p[6], i) for v in places.values() for p in v if p != min(v) for i in range(p[3], p[4] + 1)}
+    return {k: "\n".join(x for i, x in enumerate(lines) if (*k, i) not in gone) for k, lines in texts.items()}
+
+
+def test_passages_against_brute_force(spark):
+    r = random.Random(15)
+    shared = [[f"line {g} {i} of a shared block" for i in range(r.randint(2, 6))] for g in range(5)]
+    rows = []
+    for d in range(60):
+        lines = []
+        for _ in range(r.randint(0, 4)):
+            lines += r.choice([r.choice(shared), [f"own {d} {r.random()}" for _ in range(r.randint(1, 4))], ["", "x", ""], ["same"] * 3])
+        rows.append((d if d % 13 else None, "\n".join(lines)))
+    rows += [(70, None), rows[5], (71, rows[5][1]), (72, "\n\n\n"), (73, "é\nü"), (74, "é\nü\n")]
+    df = spark.createDataFrame(rows, DOCS)
+    want = brute_passages(rows)
+    got = line_dedup.dedup_passages(df).collect()
+    assert sorted((str(x.doc_id), x.text or "") for x in got) == sorted((str(d), want.get((d, t), "") if t is not None else "") for d, t in rows)
+    assert sorted(x.kept_sha256 for x in line_dedup.passage_digests(df).collect()) == sorted(hashlib.sha256((x.text or "").encode()).hexdigest() for x in got)
+    odd = line_dedup.dedup_passages(awkward(spark))
+    assert odd.columns == awkward(spark).columns and odd.count() == awkward(spark).count() and line_dedup.dedup_passages(empty(spark)).count() == 0
+    assert not re.search("Python|Arrow|Pandas", odd._jdf.queryExecution().executedPlan().toString())
+
+
+def test_planted_passages_go_whole(spark):
+    rows, want, d = [], {}, 0
+    for m in range(2, 11):
+        for k in range(30):
+            passage = [f"passage {m} {k} {i}" for i in range(m)]
+            for copy in range(2):
+                before, after = ([f"{side} {d} {i}" for i in range(4)] for side in ("before", "after"))
+                rows.append((d, "\n".join(before + passage + after)))
+                want[d] = "\n".join(before + ([] if copy else passage) + after)
+                d += 1
+    got = {x.doc_id: x.text for x in line_dedup.dedup_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 def test_native_operators_have_no_python(spark):
     df, bench = awkward(spark), spark.createDataFrame([(1, "the the the")], "item_id long, text string")
     for out in (line_dedup.dedup_lines(df), decontaminate.drop_leaks(df, bench)):
