@@ -63,19 +63,20 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
     items = _items(benchmark)
     sizes = sorted(r.k for r in items.select("k").distinct().collect())  # five at most
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("text is not null").withColumn("_t", F.xxhash64("text"))
-    hashed = docs.withColumn("w", F.expr(f"transform({_words('text')}, x -> xxhash64(x))"))
+    hashed = docs.withColumn("w", F.expr(f"transform({_words('text')}, x -> xxhash64(x))")).withColumn("words", F.size("w"))
     marks = items.select("item_id", "it", "k", "s", F.posexplode("sh").alias("at", "h"))
     few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = None
     for k in sizes or [SHINGLE]:
-        own = hashed.select("doc_id", "_t", F.posexplode(F.expr(_shingles("w", k))).alias("pos", "h"))
+        own = hashed.select("doc_id", "_t", "words", F.posexplode(F.expr(_shingles("w", k))).alias("pos", "h"))
         mine = marks.where(F.col("k") == k)
         hit = own.join(F.broadcast(mine) if few else mine, "h")
         found = hit if found is None else found.unionByName(hit)
-    # of two windows with s shingles each, a similarity x needs 2sx / (1 + x) in common
-    need = F.ceil(F.col("s") * (2 * similarity / (1 + similarity)) - 1e-9)
+    # of an item with s shingles and a window with sw, fewer where the text is shorter than the item, a similarity x needs x (s + sw) / (1 + x) in common
+    found = found.withColumn("sw", F.least(F.col("s"), F.col("words") - F.col("k") + 1))
+    need = F.ceil((F.col("s") + F.col("sw")) * (similarity / (1 + similarity)) - 1e-9).cast("int")
     pairs = (
-        found.groupBy("doc_id", "_t", "item_id", "it", "s").agg(F.collect_set(F.greatest(F.col("pos") - F.col("at"), F.lit(0))).alias("starts"), F.size(F.collect_set("pos")).alias("places")).where(F.col("places") >= need).drop("places", "s")
+        found.groupBy("doc_id", "_t", "item_id", "it", "s", "sw").agg(F.collect_set(F.greatest(F.col("pos") - F.col("at"), F.lit(0))).alias("starts"), F.size(F.collect_set("pos")).alias("places")).where(F.col("places") >= need).drop("places", "s", "sw")
     )
     sided = pairs.join(items.drop("sh"), ["item_id", "it"])
     again = hashed.groupBy(F.col("doc_id").alias("d"), F.col("_t").alias("t")).agg(F.first("text").alias("text"))

@@ -346,6 +346,13 @@ def test_leaks_against_brute_force(spark):
     assert kept.columns == df.columns and kept.count() == sum(not any(h[0] == d for h in got) for d, _ in docs) + sum(d == 1 and not t for d, t in docs)
 
 
+def test_truncated_items_are_leaks(spark):
+    item = " ".join(f"w{i}" for i in range(55))
+    docs = [(n, " ".join(item.split()[:n])) for n in range(42, 56)] + [(100 + n, " ".join(item.split()[55 - n :])) for n in range(42, 56)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert (47, 1) in got and got == brute_leaks(docs, [(1, item)])
+
+
 def test_leaks_of_awkward_rows(spark):
     bench = spark.createDataFrame([(1, "the the the")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.find_leaks(awkward(spark), bench).collect()} == {12}
