@@ -1,9 +1,11 @@
 """Operator 7: benchmark decontamination by SimHash of item-sized windows. DataFrame functions only.
 
 Words are runs of anything but ASCII white space, in lower case; shingles are five words (of an item with fewer, all of
-them). A window has as many words as the item it is held against. Windows are laid where a shingle of the text lines up
-with the same shingle of the item; no other window can have a shingle in common with the item at that place, and texts
-whose shared shingles are too few for the wanted similarity anywhere are left out, which loses none. Each window gets a
+them). A window has as many words as the item it is held against, or all of a shorter text. Texts whose shared shingles are
+too few for the wanted similarity anywhere are left out, which loses none. Windows are laid where a shingle of the text
+lines up with the same shingle of the item, and from each shared shingle that has enough of them behind it for the wanted
+similarity, in whatever order. A window that begins with a shingle that isn't shared loses nothing by beginning later, up to
+a shared one or the text's last window; so no window is more similar than the best of those laid. Each window gets a
 64-bit SimHash over its weighted shingles. RADIUS + 1 blocks of bits index the fingerprints: two within the radius agree in
 a block at least, so equality on a block finds all of them. What the index finds is verified by the exact weighted
 Jaccard similarity of the shingles, sum of the smaller counts over sum of the larger.
@@ -58,6 +60,10 @@ def _blocks(radius: int) -> str:
     return "array(" + ", ".join(f"named_struct('b', {i}, 'v', shiftrightunsigned(f, {a}) & {(1 << (z - a)) - 1}L)" for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False))) + ")"
 
 
+#: Shared places p from which a window of sw shingles holds need of them, and the text's last window if it does.
+_DENSE = "transform(array(array_sort(places)), p -> concat(transform(filter(sequence(0, size(p) - 1), i -> get(p, i + need - 1) < get(p, i) + sw), i -> get(p, i)), case when get(p, size(p) - need) >= words - s - k + 1 then array(greatest(words, 0)) else cast(array() as array<int>) end))[0]"
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start (word of the best window), distance (of fingerprints) and similarity of every text and item that match; _t tells texts of one id apart."""
     items = _items(benchmark)
@@ -76,7 +82,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
     found = found.withColumn("sw", F.least(F.col("s"), F.col("words") - F.col("k") + 1))
     need = F.ceil((F.col("s") + F.col("sw")) * (similarity / (1 + similarity)) - 1e-9).cast("int")
     pairs = (
-        found.groupBy("doc_id", "_t", "item_id", "it", "s", "sw").agg(F.collect_set(F.greatest(F.col("pos") - F.col("at"), F.lit(0))).alias("starts"), F.size(F.collect_set("pos")).alias("places")).where(F.col("places") >= need).drop("places", "s", "sw")
+        found.groupBy("doc_id", "_t", "item_id", "it", "s", "sw", "words", "k").agg(F.collect_set(F.greatest(F.col("pos") - F.col("at"), F.lit(0))).alias("starts"), F.collect_set("pos").alias("places")).withColumn("need", need).where("size(places) >= need").withColumn("starts", F.expr(f"concat(starts, {_DENSE})")).drop("places", "need", "s", "sw", "words", "k")
     )
     sided = pairs.join(items.drop("sh"), ["item_id", "it"])
     again = hashed.groupBy(F.col("doc_id").alias("d"), F.col("_t").alias("t")).agg(F.first("text").alias("text"))

@@ -353,6 +353,15 @@ def test_truncated_items_are_leaks(spark):
     assert (47, 1) in got and got == brute_leaks(docs, [(1, item)])
 
 
+def test_reordered_items_are_leaks(spark):
+    item = [f"w{i}" for i in range(60)]
+    swapped, side = item[30:] + item[:30], lambda k, n=100: [f"{k}{i}" for i in range(n)]
+    docs = [(1, side("a") + swapped + side("b")), (2, swapped), (3, side("a") + swapped), (4, swapped + side("b")), (5, side("a") + item[30:] + side("c", 12) + item[:30])]
+    docs = [(d, " ".join(w)) for d, w in docs]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == brute_leaks(docs, [(1, " ".join(item))]) == {(d, 1) for d in (1, 2, 3, 4)}
+
+
 def test_leaks_of_awkward_rows(spark):
     bench = spark.createDataFrame([(1, "the the the")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.find_leaks(awkward(spark), bench).collect()} == {12}
