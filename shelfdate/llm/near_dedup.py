@@ -300,10 +300,12 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Of every class the row with the least doc_id, with all its columns; of rows with that id and alike texts, one. Rows without words all stay."""
+    """Of every class the row with the least doc_id, with all its columns; of rows with that id and alike texts, one. Of equal texts without words the row with the least doc_id stays, a null id after all others; rows whose text is null all stay."""
     worded = F.col("text").rlike(r"[^ \t-\r]")
     kept = classes(documents, least).where("node is not null and doc_id <=> class_id").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).groupBy("_d").agg(F.min("_n").alias("_n"))
     own = documents.withColumn("_m", F.expr("unhex(md5(cast(text as binary)))"))
     one = own.where(worded).join(kept, own["doc_id"].cast("long").eqNullSafe(kept["_d"]) & (own["_m"] == kept["_n"]), "left_semi").dropDuplicates(["doc_id", "_m"])
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    return one.select(*columns).union(documents.where(~F.coalesce(worded, F.lit(False))).select(*columns))
+    first = F.min_by(F.struct(*columns), F.struct(F.col("doc_id").isNull(), "doc_id"))
+    wordless = documents.where(~worded).groupBy("text").agg(first.alias("_row")).select("_row.*")
+    return one.select(*columns).union(wordless).union(documents.where("text is null").select(*columns))

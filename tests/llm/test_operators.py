@@ -176,6 +176,12 @@ def test_keep_one_and_awkward_rows(spark):
     assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, "one two three four five six"), (3, ""), (3, ""), (4, "")]
 
 
+def test_keep_one_of_equal_wordless_texts(spark):
+    rows = [(None, ""), (9, ""), (2, ""), (2, ""), (7, ""), (5, " \n"), (4, " \n"), (None, "\t"), (1, None), (1, None)]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("1", "None"), ("1", "None"), ("2", ""), ("4", " \n"), ("None", "\t")]
+
+
 # 4
 
 
