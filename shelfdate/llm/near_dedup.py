@@ -3,19 +3,23 @@
 Shingles are five words (runs of anything but ASCII white space; of a text with fewer, all its words), weighted by
 1 + ln(count). ProbMinHash draws for each shingle a Poisson process of arrivals at registers, at the rate of its weight;
 each register keeps its earliest shingle, and a shingle stops once its arrivals are later than every register's. Two texts
-agree in a register with their probability Jaccard similarity. BANDS bands of ROWS registers give candidates: at a
-similarity of 0.8 a pair misses all bands with a probability under 1e-5. Candidates are verified exactly: they are linked if
-the probability Jaccard similarity of the weighted shingles, or the Jaccard similarity of the shingle sets, is 0.8 or more.
+agree in a register with their probability Jaccard similarity; with all weights 1 that is the Jaccard similarity of their
+shingle sets. Candidates are verified exactly: two texts are linked if the probability Jaccard similarity of the weighted
+shingles, or the Jaccard similarity of the shingle sets, is 0.8 or more. So a text in which a shingle occurs twice has a
+second signature of even weights; for others both are the same. BANDS bands of ROWS registers of each signature give a
+text's buckets: at a similarity of 0.8, of either kind, a pair shares no bucket with a probability under 1e-5.
 
 Equal texts are one node. Within a bucket every node is first held against one leader; then, in buckets that still hold
-nodes of several components, pairs across components. Two tests spare most of those: an exact bound (shingles that no
-other of these nodes has can't be in common), and the registers' own estimate, as far below the wanted similarity as links
-are with a probability under 1e-5. Pairs inside a component are never made, as they add nothing to the classes: so a bucket
-of copies costs as many pairs as it has nodes, and no link is lost but with the probabilities named.
+nodes of several components, nodes of unlike components against one another. Three tests, made as the bucket is joined,
+leave few of those to verify. Two are exact bounds: shingles that no other of these nodes has can't be in common; and a
+sketch of parities (each shingle flips one of PARITY bits) can't differ in more bits than the sets do in shingles. The third
+is the registers' own estimate, as far below the wanted similarity as links are with a probability under 1e-5. What is left
+are pairs within a hair of the wanted similarity. Pairs inside a component are never made, as they add nothing to the
+classes: so a bucket of copies costs as many pairs as it has nodes, and no link is lost but with the probabilities named.
 
 Cases: null and empty texts, and texts without words, are like nothing, and each row is its own class; the class of others
-is the least doc_id in it (null if all are null); repeated rows are in one class; empty tables give no rows; other columns
-pass through keep_one and are ignored by classes.
+is the least doc_id in it (null if all are null); repeated rows are in one class; empty tables give no rows; other columns,
+whatever their names, pass through keep_one and are ignored by classes.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ BANDS, ROWS = 40, 6
 REGISTERS = 400
 #: Bits of each register that are kept for estimates. At a similarity of 0.8, or at the wanted one, fewer registers than the mean less NEVER standard deviations agree with a probability under 1e-5.
 PLANES, NEVER = 4, 4.4
+#: Bits of a parity sketch.
+PARITY = 2048
 #: Arrivals drawn at once, about.
 DRAW = 1 << 15
 
@@ -94,8 +100,9 @@ def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, reg
     return owner.reshape(n, registers)
 
 
-def bands(sig: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    out = np.zeros((len(sig), count), np.uint64)
+def buckets(sig: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One number for each band of each text, by the band and the registers in it."""
+    out = np.zeros((len(sig), count), np.uint64) + np.arange(count, dtype=np.uint64)
     for k in range(rows):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows][:, :count])
     return out.view(np.int64)
@@ -117,8 +124,7 @@ def planes(sig: np.ndarray, bits: int = PLANES) -> np.ndarray:
 def _agreeing(a: str, b: str, bits: int = PLANES, registers: int = REGISTERS) -> str:
     """How many registers of two columns of planes agree."""
     words = -(-registers // 64)
-    same = [f"bit_count({' | '.join(f'({a}[{k * words + w}] ^ {b}[{k * words + w}])' for k in range(bits))})" for w in range(words)]
-    return f"({registers} - ({' + '.join(same)}))"
+    return f"({registers} - aggregate(sequence(0, {words - 1}), 0, (s, i) -> s + bit_count({' | '.join(f'({a}[i + {k * words}] ^ {b}[i + {k * words}])' for k in range(bits))})))"
 
 
 def weights(count: np.ndarray) -> np.ndarray:
@@ -151,24 +157,43 @@ def probability_jaccard(wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.n
     return float((1 / (above / x + below / y)).sum())
 
 
+def parities(doc: np.ndarray, key: np.ndarray, n: int, bits: int = PARITY) -> np.ndarray:
+    """n by bits / 64: each shingle of a text flips one bit of its sketch."""
+    at = (_mix(key) >> np.uint64(40)).astype(np.int64) % bits
+    odd = (np.bincount(doc * bits + at, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view("<i8")
+
+
+def marks(x: Laid) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray | None]]:
+    """Of each text: whether it has words, its buckets, its planes, and the planes of even weights where they aren't the same."""
+    doc, key, count = shingles(x)
+    sig = signatures(doc, key, weights(count), x.n)
+    found, bits = list(buckets(sig)), list(planes(sig))
+    even: list[np.ndarray | None] = [None] * x.n
+    if len(multi := np.unique(doc[count > 1])):
+        own = np.isin(doc, multi)
+        sig = signatures(np.searchsorted(multi, doc[own]), key[own], np.ones(own.sum()), len(multi))
+        for i, b, p in zip(multi, buckets(sig), planes(sig), strict=True):
+            found[i], even[i] = np.unique(np.concatenate([found[i], b])), p
+    return np.bincount(x.word_doc, minlength=x.n) > 0, found, bits, even
+
+
 def _nodes(df: DataFrame) -> DataFrame:
-    """doc_id, node (md5 of the text; null for texts without words), its bands and planes."""
+    """doc_id, node (md5 of the text; null for texts without words), its buckets, planes and, if they are others, planes of even weights."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            nodes, keys, bits = [], [], []
+            out: dict[str, list] = {"node": [], "buckets": [], "planes": [], "even": []}
             for _, raws, x in laid(batch.column(1).to_pylist()):
-                doc, key, count = shingles(x)
-                sig = signatures(doc, key, weights(count), x.n)
-                has = np.bincount(x.word_doc, minlength=x.n) > 0
-                nodes += [hashlib.md5(r).digest() if h else None for r, h in zip(raws, has, strict=True)]
-                for into, found in ((keys, bands(sig)), (bits, planes(sig))):
-                    into += [f if h else None for f, h in zip(found, has, strict=True)]
-            return {"doc_id": batch.column(0), "node": nodes, "bands": keys, "planes": bits}
+                has, *rest = marks(x)
+                out["node"] += [hashlib.md5(r).digest() if h else None for r, h in zip(raws, has, strict=True)]
+                for name, found in zip(("buckets", "planes", "even"), rest, strict=True):
+                    out[name] += [f if h else None for f, h in zip(found, has, strict=True)]
+            return {"doc_id": batch.column(0), **out}
 
         return each
 
-    return map_rows(df, make, "doc_id long, node binary, bands array<long>, planes array<long>")
+    return map_rows(df, make, "doc_id long, node binary, buckets array<long>, planes array<long>, even array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -200,54 +225,77 @@ def components(links: DataFrame) -> DataFrame:
         near = labels.join(heard, "node", "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("l"))
         jump = labels.select(F.col("node").alias("l"), F.col("label").alias("over"))
         new = written(near.join(jump, "l", "left").select("node", F.least("l", F.coalesce("over", "l")).alias("label"), (F.least("l", F.coalesce("over", "l")) < F.col("label")).alias("moved")))
+        dropped(labels)
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
+            dropped(both)
             return labels
 
 
-def _profiles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, and of its shingles: n, their weights' sum w, whether one occurs twice (multi), and u and v: how many, and of what weight, no other of these nodes has."""
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after these further links: components of the labels that they hold together, not of all nodes again."""
+    name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return labels.union(alone).join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def _profiles(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A frame, and the table that it reads: node, and of its shingles: n, their weights' sum w, whether one occurs twice (multi), their parities (odd), and u and v: how many, and of what weight, no other of these nodes has."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            keys, shares, multi = [], [], []
+            keys, shares, multi, odd = [], [], [], []
             for _, raws, x in laid(batch.column(1).to_pylist()):
                 doc, key, count = shingles(x)
+                odd += list(parities(doc, key, x.n))
                 edge = np.searchsorted(doc, np.arange(len(raws) + 1))
                 for a, z in zip(edge, edge[1:], strict=False):
                     keys.append(key[a:z].view(np.int64))
                     shares.append(weights(count[a:z]))
                     multi.append(bool((count[a:z] > 1).any()))
-            return {"node": batch.column(0), "keys": keys, "shares": shares, "multi": multi}
+            return {"node": batch.column(0), "keys": keys, "shares": shares, "multi": multi, "odd": odd}
 
         return each
 
-    have = written(map_rows(texts.join(nodes, "node").select("node", "text"), make, "node binary, keys array<long>, shares array<double>, multi boolean"))
+    have = written(map_rows(texts.join(nodes, "node").select("node", "text"), make, "node binary, keys array<long>, shares array<double>, multi boolean, odd array<long>"))
     each = have.select("node", F.explode(F.arrays_zip("keys", "shares")).alias("x")).select("node", F.col("x.keys").alias("key"), F.col("x.shares").alias("w"))
     own = each.groupBy("key").agg(F.count("*").alias("c"), F.first("node").alias("node"), F.first("w").alias("w")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"), F.sum("w").alias("v"))
-    sums = have.select("node", F.size("keys").cast("long").alias("n"), F.aggregate("shares", F.lit(0.0), lambda a, x: a + x).alias("w"), "multi")
-    return sums.join(own, "node", "left").select("node", "n", "w", "multi", F.coalesce("u", F.lit(0)).cast("long").alias("u"), F.coalesce("v", F.lit(0.0)).alias("v"))
+    sums = have.select("node", F.size("keys").cast("long").alias("n"), F.aggregate("shares", F.lit(0.0), lambda a, x: a + x).alias("w"), "multi", "odd")
+    return sums.join(own, "node", "left").select("node", "n", "w", "multi", "odd", F.coalesce("u", F.lit(0)).cast("long").alias("u"), F.coalesce("v", F.lit(0.0)).alias("v")), have
 
 
 def _possible(least: float) -> str:
     """Whether two profiles (n, u, w, v, multi of a and b) leave a similarity of least possible. A node's own shingles are in no other. With c the most that two sets can have in common, their Jaccard similarity is c / (na + nb - c) at most; a probability Jaccard similarity is no more than the share of common weight on either side, and is that of the sets where no shingle occurs twice."""
     c = "least(na - ua, nb - ub)"
-    return f"({c} >= {least - 1e-9} * (na + nb - {c}) or ((ma or mb) and least((wa - va) / wa, (wb - vb) / wb) >= {least - 1e-9}))"
+    return f"({c} >= {least - 1e-9}D * (na + nb - {c}) or ((ma or mb) and least((wa - va) / wa, (wb - vb) / wb) >= {least - 1e-9}D))"
+
+
+def _likely(least: float) -> str:
+    """Whether the sketches of a and b leave it possible, the registers' estimate but for a probability under 1e-5. Sets differ in as many shingles as their parities in bits, at least: sets of na and nb that differ in d have a Jaccard similarity of (na + nb - d) / (na + nb + d). Of weighted shingles one side has d / 2 that the other has not, each of weight 1 or more."""
+    agree = least + (1 - least) / (1 << PLANES)
+    enough = REGISTERS * (agree - NEVER * (agree * (1 - agree) / REGISTERS) ** 0.5)
+    differ = "aggregate(zip_with(oa, ob, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    sets, shares = f"(na + nb) * {(1 - least) / (1 + least) + 1e-9}D", f"2 * greatest(wa, wb) * {1 - least + 1e-9}D"
+    agreeing = lambda a, b: f"{_agreeing(a, b)} >= {enough:.3f}D"
+    # each costly term stands here once: Spark works repeated ones out ahead of the cheap tests
+    return f"({differ} <= case when ma or mb then greatest({sets}, {shares}) else {sets} end and ({agreeing('ea', 'eb')} or ((ma or mb) and {agreeing('pa', 'pb')})))"
 
 
 def links(df: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Links a, b between unlike texts that hold all classes together, and the labels of their nodes. nodes: doc_id, node, bands of df's rows."""
+    """Links a, b between unlike texts that hold all classes together, and the labels of their nodes. nodes: doc_id, node, buckets, planes and even of df's rows."""
     spark = df.sparkSession
-    distinct = nodes.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
-    places = distinct.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = places.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(places.join(buckets, ["band", "key"]))
+    worded = nodes.where("node is not null")
+    places = worded.groupBy("node").agg(F.first("buckets").alias("buckets")).select("node", F.explode("buckets").alias("bucket"))
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(places.join(sizes, "bucket"))
     cleaned(spark)
     # a bucket's leader is the node with the most company in all its buckets: of copies, the one that most are like
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    met = shared.join(company, "node").select("band", "key", "node", F.struct("company", "node").alias("rank"))
-    leaders = met.groupBy("band", "key").agg(F.max("rank").alias("m")).select("band", "key", F.col("m.node").alias("leader"))
-    members = written(shared.select("band", "key", "node").join(leaders, ["band", "key"]))
+    met = shared.join(company, "node").select("bucket", "node", F.struct("company", "node").alias("rank"))
+    leaders = met.groupBy("bucket").agg(F.max("rank").alias("m")).select("bucket", F.col("m.node").alias("leader"))
+    members = written(shared.select("bucket", "node").join(leaders, "bucket"))
     dropped(shared)
     # the texts of nodes with company, once each; the rest isn't moved again
     wanted = df.where("text is not null").select(F.expr("unhex(md5(cast(text as binary)))").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
@@ -256,33 +304,37 @@ def links(df: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[D
     texts = written(copies.groupBy("node").agg(F.first("text").alias("text")))
     dropped(copies)
     cleaned(spark)
-    stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = written(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     first = written(_verified(stars, texts, least))
     cleaned(spark)
     labels = components(first)
-    named = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
-    open_ = written(named.join(mixed, ["band", "key"]))
+    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    open_ = written(named.join(mixed, "bucket"))
     if not open_.limit(1).count():
         return first, labels
-    profiles = _profiles(open_.select("node").distinct(), texts)
-    able = profiles.where(f"n - u >= {least - 1e-9} * n or (multi and w - v >= {least - 1e-9} * w)")
-    signed = nodes.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("planes").alias("planes"))
-    known = written(open_.join(able.join(signed, "node"), "node"))
-    cleaned(spark)
-    side = lambda x: known.select("band", "key", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("label", "n", "u", "w", "v", "multi", "planes")], F.col("bands").alias(f"bands{x}"))
-    # of the bands that a pair shares, the first makes it; registers can't show so much less than the wanted similarity
-    agree = least + (1 - least) / (1 << PLANES)
-    enough = REGISTERS * (agree - NEVER * (agree * (1 - agree) / REGISTERS) ** 0.5)
-    likely = f"(ma or mb or {_agreeing('pa', 'pb')} >= {enough:.3f}) and array_position(zip_with(bandsa, bandsb, (x, y) -> x = y), true) = band + 1"
-    across = side("a").join(side("b"), ["band", "key"]).where(f"la <> lb and a < b and {_possible(least)} and {likely}").select("a", "b")
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = written(_verified(across.join(done, ["a", "b"], "left_anti"), texts, least))
+    pairs = across(open_, worded, texts, least)
+    second = written(_verified(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts, least))
+    for x in (open_, pairs, stars, members, texts):
+        dropped(x)
     cleaned(spark)
     if not second.limit(1).count():
         return first, labels
-    both = first.union(second)
-    return both, components(both)
+    return first.union(second), _joined(labels, second)
+
+
+def across(open_: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of nodes of unlike labels in a bucket that may be linked. open_: bucket, node and label; nodes: node, buckets, planes and even."""
+    profiles, held = _profiles(open_.select("node").distinct(), texts)
+    able = profiles.where(f"n - u >= {least - 1e-9}D * n or (multi and w - v >= {least - 1e-9}D * w)")
+    signed = nodes.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("buckets").alias("buckets"), F.first("planes").alias("planes"), F.first("even").alias("even"))
+    known = written(open_.join(able.join(signed, "node"), "node").withColumn("even", F.coalesce("even", "planes")))
+    dropped(held)
+    side = lambda x: known.select("bucket", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("label", "n", "u", "w", "v", "multi", "odd", "planes", "even")], F.col("buckets").alias(f"b{x}"))
+    # of the buckets that a pair shares, the least makes it
+    pairs = written(side("a").join(side("b"), "bucket").where(f"la <> lb and a < b and {_possible(least)} and {_likely(least)} and bucket = array_min(array_intersect(ba, bb))").select("a", "b"))
+    dropped(known)
+    return pairs
 
 
 def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -294,18 +346,17 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     least_id = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("m"))
     labelled = least_id.join(labels, "node", "left").select("node", "m", F.coalesce("label", "node").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("m").alias("class_id"))
-    member = labelled.join(ids, "label").select("node", "class_id")
+    # written, so that the join below deals both of its sides itself and can split the node of a text that very many rows have
+    member = written(labelled.join(ids, "label").select("node", "class_id"))
     alone = rows.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), "node")
     return rows.where("node is not null").join(member, "node").select("doc_id", "class_id", "node").union(alone)
 
 
 def keep_one(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Of every class the row with the least doc_id, with all its columns; of rows with that id and alike texts, one. Of equal texts without words the row with the least doc_id stays, a null id after all others; rows whose text is null all stay."""
-    worded = F.col("text").rlike(r"[^ \t-\r]")
-    kept = classes(documents, least).where("node is not null and doc_id <=> class_id").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).groupBy("_d").agg(F.min("_n").alias("_n"))
-    own = documents.withColumn("_m", F.expr("unhex(md5(cast(text as binary)))"))
-    one = own.where(worded).join(kept, own["doc_id"].cast("long").eqNullSafe(kept["_d"]) & (own["_m"] == kept["_n"]), "left_semi").dropDuplicates(["doc_id", "_m"])
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    first = F.min_by(F.struct(*columns), F.struct(F.col("doc_id").isNull(), "doc_id"))
-    wordless = documents.where(~worded).groupBy("text").agg(first.alias("_row")).select("_row.*")
-    return one.select(*columns).union(wordless).union(documents.where("text is null").select(*columns))
+    kept = classes(documents, least).where("node is not null and doc_id <=> class_id").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).groupBy("kept_id").agg(F.min("kept_node").alias("kept_node"))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(row, F.col("doc_id").cast("long").alias("id"), F.expr("unhex(md5(cast(text as binary)))").alias("node"), F.col("text").rlike(r"[^ \t-\r]").alias("worded"))
+    one = rows.where("worded").join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node")), "left_semi").dropDuplicates(["id", "node"])
+    wordless = rows.where("not worded").groupBy("node").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id")).alias("row"))
+    return one.select("row.*").union(wordless.select("row.*")).union(rows.where("worded is null").select("row.*"))
