@@ -4,19 +4,18 @@ Each line is hashed; a rolling (cyclic polynomial) hash runs over the line hashe
 rolling hash is a strict local minimum. A boundary depends on the lines around it alone, so that inserted lines shift
 nothing but their own chunk, and no chunk but a text's last has fewer than two lines. Chunks of two or more lines with a
 word in them that occur more than once, in any texts, keep their first occurrence (smallest doc_id, then place); the others
-go. Chunks are compared byte by byte: the grouping key is their text. The two hashes of a chunk only bring the verdict back
-to its places; chunks whose hashes are alike while their bytes differ stay where they are.
+go. Two hashes of a chunk find those that may be alike; each is then compared byte by byte with the first place that has
+its hashes, and stays if its bytes differ.
 
 A chunk's ends depend on lines beside a passage, so that chunks alone miss short passages and the ends of long ones.
 dedup_passages and passage_digests, which the query and the pipeline use, therefore also look at every pair: a line with a
 word in it up to the next such line, blank lines between them included. What a chunk or a pair has of an earlier place goes.
 So every passage of two or more worded lines loses its later occurrences whole, whatever stands beside it. Each line that
-goes has an equal line that stays: the first of all equal lines is in no chunk or pair that is found earlier. A later chunk
-or pair is compared byte by byte with the first place that has its two hashes.
+goes has an equal line that stays: the first of all equal lines is in no chunk or pair that is found earlier.
 
 Cases: null and empty texts have nothing to remove and stay as they are; a null id comes after all others; rows with the
-same id and text are one text, and each gets that text's result; empty tables give no rows; other columns pass through
-dedup_lines and are ignored by the digests.
+same id and text are one text, and each gets that text's result; empty tables give no rows; other columns, whatever
+their names, pass through dedup_lines and dedup_passages and are ignored by the digests.
 """
 
 from __future__ import annotations
@@ -55,37 +54,6 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64("text"))
 
 
-def removals(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """_id, _t and _gone: the first lines of the chunks of that text that go. Texts that lose nothing have no row."""
-    own = _keyed(df.select(F.col("doc_id"), F.col("text"))).where("text is not null")
-    chunks = (
-        with_chunks(own, window)
-        .select(*_KEY, F.explode(F.expr(r"filter(_chunks, c -> c.n > 1 and c.text rlike '[^ \\t-\\r]')")).alias("c"))
-        .select(*_KEY, F.col("c.at").alias("_at"), F.col("c.text").alias("_text"), F.xxhash64("c.text").alias("_a"), F.xxhash64(F.lit("second"), "c.text").alias("_b"))
-    )
-    place = F.struct(F.col("_id").isNull(), "_id", "_t", "_at")
-    alike = chunks.groupBy("_a", "_b", "_text").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    # written, so that the join below deals both of its sides itself and can split a chunk that very many texts have
-    known = written(alike.groupBy("_a", "_b").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last")).where("texts = 1 and first <> last").select("_a", "_b", "first"))
-    return (
-        chunks.select(*_KEY, "_at", "_a", "_b").join(known, ["_a", "_b"]).where(place != F.col("first")).groupBy(*_KEY).agg(F.collect_set("_at").alias("_gone"))
-    )
-
-
-def _cleaned(df: DataFrame, window: int) -> DataFrame:
-    """df with _kept, the text that stays, _lines and _gone_lines."""
-    gone = removals(df, window).withColumnRenamed("_id", "_gid").withColumnRenamed("_t", "_gt")
-    all_ = _keyed(df)
-    joined = all_.join(gone, all_["_id"].eqNullSafe(gone["_gid"]) & (all_["_t"] == gone["_gt"]), "left").drop("_gid", "_gt", *_KEY)
-    return (
-        with_chunks(joined, window)
-        .withColumn("_kept", F.expr(r"case when _gone is null then text else array_join(transform(filter(_chunks, c -> not array_contains(_gone, c.at)), c -> c.text), '\n') end"))
-        .withColumn("_lines", F.expr("coalesce(aggregate(_chunks, 0L, (s, c) -> s + c.n), 0L)"))
-        .withColumn("_gone_lines", F.expr("case when _gone is null then 0L else aggregate(filter(_chunks, c -> array_contains(_gone, c.at)), 0L, (s, c) -> s + c.n) end"))
-        .drop("_chunks", "_gone")
-    )
-
-
 #: Lines of a text, known as l in what follows: bound by a lambda, as Catalyst would put the split into every use of a column.
 _LINES = r"transform(array(split(text, '\n', -1)), l -> {})[0]"
 
@@ -97,12 +65,13 @@ def _pairs() -> str:
     return _LINES.format(f"transform(array({worded}), w -> transform(slice(w, 1, greatest(size(w) - 1, 0)), (a, k) -> {pair}))[0]")
 
 
-def repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """_id, _t and _gone: (first line, lines, text of the first place) of the chunks and pairs of that text whose hashes an earlier place has."""
+def repeats(df: DataFrame, window: int = WINDOW, pairs: bool = True) -> DataFrame:
+    """_id, _t and _gone: (first line, lines, text of the first place) of the chunks, and if asked for the pairs, of that text whose hashes an earlier place has. Only hashes are dealt by chunk; the texts that come along are those of first places of what repeats."""
     own = _keyed(df.select(F.col("doc_id"), F.col("text"))).where("text is not null")
+    chunks = r"filter(_chunks, c -> c.n > 1 and c.text rlike '[^ \\t-\\r]')"
     marks = (
         with_chunks(own, window)
-        .select(*_KEY, F.explode(F.expr(rf"concat(filter(_chunks, c -> c.n > 1 and c.text rlike '[^ \\t-\\r]'), {_pairs()})")).alias("c"))
+        .select(*_KEY, F.explode(F.expr(f"concat({chunks}, {_pairs()})" if pairs else chunks)).alias("c"))
         .select(*_KEY, F.col("c.at").alias("_at"), F.col("c.n").alias("_n"), F.xxhash64("c.text").alias("_a"), F.xxhash64(F.lit("second"), "c.text").alias("_b"))
     )
     place = F.struct(F.col("_id").isNull(), "_id", "_t", "_at", "_n")
@@ -116,47 +85,49 @@ def repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
     return marks.join(known, ["_a", "_b"]).where(place != F.col("first")).groupBy(*_KEY).agg(F.collect_set(F.struct(F.col("_at").alias("at"), F.col("_n").alias("n"), F.col("_text").alias("text"))).alias("_gone"))
 
 
-def _rid(df: DataFrame, window: int) -> DataFrame:
-    """df with _kept, the text that stays, _lines and _gone_lines."""
-    gone = repeats(df, window).withColumnRenamed("_id", "_gid").withColumnRenamed("_t", "_gt")
-    all_ = _keyed(df)
-    joined = all_.join(gone, all_["_id"].eqNullSafe(gone["_gid"]) & (all_["_t"] == gone["_gt"]), "left").drop("_gid", "_gt", *_KEY)
+def _rid(df: DataFrame, window: int, pairs: bool) -> DataFrame:
+    """row (df's columns), _kept, the text that stays, _lines and _gone_lines."""
+    gone = repeats(df, window, pairs).withColumnRenamed("_id", "_gid").withColumnRenamed("_t", "_gt")
+    rows = _keyed(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id"), F.col("text")))
+    joined = rows.join(gone, rows["_id"].eqNullSafe(gone["_gid"]) & (rows["_t"] == gone["_gt"]), "left").select("row", "text", "_gone")
     return (
         joined.withColumn("_stay", F.expr(_LINES.format(r"array_except(sequence(0, size(l) - 1), flatten(transform(filter(_gone, g -> array_join(slice(l, g.at + 1, g.n), '\n') = g.text), g -> sequence(g.at, g.at + g.n - 1))))")))
         .withColumn("_kept", F.expr("case when _gone is null then text else " + _LINES.format(r"array_join(transform(_stay, i -> get(l, i)), '\n')") + " end"))
         .withColumn("_lines", F.expr(r"case when text is null then 0L else cast(size(split(text, '\n', -1)) as long) end"))
         .withColumn("_gone_lines", F.expr("case when _gone is null then 0L else _lines - size(_stay) end"))
-        .drop("_stay", "_gone")
+        .drop("_stay", "_gone", "text")
     )
 
 
-def _with_text(df: DataFrame, cleaned: DataFrame) -> DataFrame:
-    out = cleaned.withColumn("text", F.col("_kept"))
+def _with_text(df: DataFrame, window: int, pairs: bool) -> DataFrame:
+    """df with what stays as its text; n_chars, if there, follows."""
+    own = {c: F.col("row").getField(c) for c in df.columns} | {"text": F.col("_kept")}
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone_lines") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+        own["n_chars"] = F.when(F.col("_gone_lines") > 0, F.length("_kept")).otherwise(own["n_chars"]).cast(df.schema["n_chars"].dataType)
+    return _rid(df, window, pairs).select(*[own[c].alias(c) for c in df.columns])
 
 
-def _digests(cleaned: DataFrame) -> DataFrame:
+def _digests(df: DataFrame, window: int, pairs: bool) -> DataFrame:
     kept = F.coalesce("_kept", F.lit(""))
-    return cleaned.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone_lines").alias("n_removed"), F.length(kept).cast("long").alias("n_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    rid = _rid(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), window, pairs)
+    return rid.select("row.doc_id", F.col("_lines").alias("n_lines"), F.col("_gone_lines").alias("n_removed"), F.length(kept).cast("long").alias("n_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
 def dedup_lines(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """df, its repeated chunks of lines removed from text; n_chars, if there, follows."""
-    return _with_text(df, _cleaned(df, window))
+    return _with_text(df, window, False)
 
 
 def line_digests(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars and kept_sha256 of what stays of each text."""
-    return _digests(_cleaned(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), window))
+    return _digests(df, window, False)
 
 
 def dedup_passages(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """As dedup_lines, with repeated pairs of lines removed too."""
-    return _with_text(df, _rid(df, window))
+    return _with_text(df, window, True)
 
 
 def passage_digests(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """As line_digests, with repeated pairs of lines removed too."""
-    return _digests(_rid(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), window))
+    return _digests(df, window, True)

@@ -182,6 +182,72 @@ def test_keep_one_of_equal_wordless_texts(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("1", "None"), ("1", "None"), ("2", ""), ("4", " \n"), ("None", "\t")]
 
 
+def test_links_of_texts_with_heavy_repeats(spark):
+    """Sets alike at 0.8 to 0.9 whose repeated lines differ: every pair is a link by the set Jaccard similarity alone."""
+    r = random.Random(8)
+    rows, alike = [], 0
+    for _ in range(150):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(90, 140))]
+        for _ in range(2):
+            line = [f"x{r.randint(0, 10**6)}" for _ in range(r.randint(4, 8))]
+            rows.append(" ".join(base + line * r.randint(20, 50)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    want = [i for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(want) > 60
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(list(enumerate(rows)), DOCS)).collect()}
+    alike = sum(got[i + 1] == i for i in want)
+    assert alike >= 0.99 * len(want)
+
+
+def test_verified_pairs_grow_with_the_group(spark, monkeypatch):
+    """Copies of one text, many just under the wanted similarity to one another: pairs follow their number, not its square."""
+    made = []
+    verified = near_dedup._verified
+
+    def counted(pairs, texts, least):
+        made[-1] += pairs.count()
+        return verified(pairs, texts, least)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    r = random.Random(3)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(150)]
+    rows = [" ".join(edited(r, base, r.choice([0.01, 0.03, 0.05]))) for _ in range(1600)]
+    for n in (400, 800, 1600):
+        made.append(0)
+        near_dedup.classes(spark.createDataFrame(list(enumerate(rows[:n])), DOCS)).collect()
+    assert made[1] < 2.6 * made[0] and made[2] < 2.6 * made[1], made
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(5)
+    for n, other in ((50, 10), (400, 300), (5000, 2000)):
+        a = np.unique(r.integers(1, 1 << 62, n, dtype=np.uint64))
+        b = np.concatenate([a[other // 2 :], np.unique(r.integers(1, 1 << 62, other, dtype=np.uint64))])
+        x = near_dedup.parities(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2)
+        assert bin(int.from_bytes((x[0] ^ x[1]).tobytes(), "little")).count("1") <= len(np.setxor1d(a, b))
+
+
+CLASHING = "`_id` long, `_t` string, `_m` string, `_gone` int, `_kept` string, `_lines` int, `_d` int, `_u` int, `node` int, row int, doc_id long, text string, kept_id int, at int, l string, w int"
+
+
+def clashing(spark):
+    """Rows whose other columns are named as an operator might name its own."""
+    r = random.Random(2)
+    text = lambda: "\n".join(" ".join(f"w{r.randint(0, 10**6)}" for _ in range(9)) for _ in range(5))
+    same = text()
+    return spark.createDataFrame([(i, "t", "m", 1, "k", 2, 3, 4, 5, 6, i, t, 7, 8, "l", 9) for i, t in enumerate([same, same, text(), None, ""])], CLASHING)
+
+
+def test_clashing_names_pass_through(spark):
+    df = clashing(spark)
+    bench = spark.createDataFrame([(1, df.where("doc_id = 2").first().text)], "item_id long, text string")
+    for out in (near_dedup.keep_one(df), line_dedup.dedup_lines(df), line_dedup.dedup_passages(df), decontaminate.drop_leaks(df, bench)):
+        rows = out.collect()
+        assert out.columns == df.columns and rows
+        for x in rows:
+            assert (x["_id"], x["_t"], x["_m"], x["_gone"], x["_kept"], x["_lines"], x["_d"], x["_u"], x["node"], x["row"], x["kept_id"]) == (x["doc_id"], "t", "m", 1, "k", 2, 3, 4, 5, 6, 7)
+
+
 # 4
 
 
@@ -368,6 +434,16 @@ def test_reordered_items_are_leaks(spark):
     assert got == brute_leaks(docs, [(1, " ".join(item))]) == {(d, 1) for d in (1, 2, 3, 4)}
 
 
+def test_swapped_halves_of_items_of_many_sizes(spark):
+    r = random.Random(12)
+    some = lambda n: [f"w{r.randint(0, 10**5)}" for _ in range(n)]
+    items = [(i, some(r.randint(40, 75))) for i in range(20)]
+    docs = [(i, some(60) + w[len(w) // 2 :] + w[: len(w) // 2] + some(60)) for i, w in items] + [(100 + i, some(150)) for i in range(20)]
+    docs, items = ([(d, " ".join(w)) for d, w in x] for x in (docs, items))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(docs, items) == {(i, i) for i in range(20)}
+
+
 def test_leaks_of_awkward_rows(spark):
     bench = spark.createDataFrame([(1, "the the the")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.find_leaks(awkward(spark), bench).collect()} == {12}
