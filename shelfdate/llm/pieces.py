@@ -24,8 +24,8 @@ from .common import map_rows, pick
 
 SPACE = "▁"
 NEVER = float("-inf")
-#: Cuts remembered by one task; beyond twice as many the oldest go.
-MEMORY = 150_000
+#: Cuts remembered by one task; when it is full the rarer half goes.
+MEMORY = 100_000
 
 
 class CharacterMap:
@@ -89,7 +89,7 @@ class Pieces:
         self.cut = (lambda s: [s] if s else []) if crosses else re.compile(cut + ("|\n" if line else "")).findall
         self.keep = re.compile("(" + "|".join(map(re.escape, self.own)) + ")") if self.own else None
         self.memory = _Cuts(self)
-        self.numbers = _Numbers(self)
+        self.decimal = [str(i) for i in range(len(m.pieces))]
 
     def normalise(self, text: str) -> tuple[str, np.ndarray | None]:
         """The normalised text and, for each of its bytes and its end, the source byte it came from; None: byte i+shift for all, as nothing is rewritten but spaces."""
@@ -124,10 +124,12 @@ class Pieces:
                 align += [at] * len(unit)
             if piece:
                 spaced = self.strip and piece.endswith(b" ")
+        last = len(source)
         if self.strip:
             while out.endswith(mark):
+                last = align[-len(mark)]
                 del out[-len(mark) :], align[-len(mark) :]
-        return out.decode(), np.array([*align, len(source)], dtype=np.int64)
+        return out.decode(), np.array([*align, last], dtype=np.int64)
 
     def merge(self, cut: str) -> list[str]:
         """The best-scored adjacent pair that is a piece merges first, the leftmost of equals."""
@@ -194,16 +196,20 @@ class Pieces:
     def encode(self, text: str, end: bool = True) -> tuple[list[int], np.ndarray]:
         """Ids, and for each the first and last source byte (end exclusive) it stands for. The end id has an empty span at the end."""
         normalised, align = self.normalise(text)
-        known = [self.memory[c] for c in self.cuts(normalised)]
-        ids = [i for k in known for i in k[0]]
-        ends = np.cumsum([s for k in known for s in k[1]], dtype=np.int64)
-        total = len(text.encode())
+        ids: list[int] = []
+        sizes: list[int] = []
+        for own, size in map(self.memory.__getitem__, self.cuts(normalised)):
+            ids += own
+            sizes += size
+        ends = np.cumsum(np.array(sizes, dtype=np.int64))
+        source = text.encode()
+        total = len(source)
         if align is None:
             raw = normalised.encode()
             width = np.frombuffer(raw, dtype=np.uint8)
             mark = SPACE.encode()
-            hits = np.flatnonzero((width[:-2] == mark[0]) & (width[1:-1] == mark[1]) & (width[2:] == mark[2])) if len(raw) > 2 else np.empty(0, np.int64)
-            source = text.encode()
+            hits = np.flatnonzero(width[:-2] == mark[0])
+            hits = hits[(width[hits + 1] == mark[1]) & (width[hits + 2] == mark[2])]
             step = np.ones(len(raw) + 1, dtype=np.int64)
             step[0] = 0
             if self.dummy and len(hits):
@@ -215,9 +221,8 @@ class Pieces:
                 real = hits[spaces]
             step[real + 2] = 0
             step[real + 3] = 0
-            step[real + 1] = 1
             align = np.cumsum(step)
-            assert align[-1] == len(source)
+            assert align[-1] == total
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         spans = np.stack([align[starts], align[ends]], axis=1) if len(ends) else np.empty((0, 2), np.int64)
         if end and self.end is not None:
@@ -234,63 +239,29 @@ class Pieces:
             raw = raw[3:]
         return raw.decode("utf-8", "replace").replace(SPACE, " ")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """All ids counted and hashed as decimals joined by a space, and the hash of the text decoded from them."""
-        normalised, _ = self.normalise(text)
-        end = () if self.end is None else (str(self.end),)
-        if not (cuts := self.cuts(normalised)):
-            return len(end), hashlib.sha256("".join(end).encode()).hexdigest(), hashlib.sha256(b"").hexdigest()
-        joined = " ".join([*map(self.numbers.__getitem__, cuts), *end])
-        if self.numbers.odd.isdisjoint(cuts):  # of each cut the surfaces of its ids are the cut
-            decoded = "".join(cuts)
-            decoded = (decoded[1:] if self.dummy and decoded[0] == SPACE else decoded).replace(SPACE, " ")
-        else:
-            decoded = self.decode([int(i) for c in cuts for i in self.numbers[c].split(" ")])
-        return joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def digest(self, text: str) -> tuple[int, str, str, str]:
+        """All ids counted, and hashes of: the ids as decimals joined by a space; the text decoded from them; the spans' first and last bytes, id by id, as little-endian 64-bit numbers."""
+        ids, spans = self.encode(text)
+        joined = " ".join(map(self.decimal.__getitem__, ids))
+        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest(), hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest()
 
 
 class _Cuts(dict):
-    """Of a cut: its ids and the bytes of each."""
+    """Of a cut: its ids and the normalised bytes of each."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.old: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
     def __missing__(self, cut: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        if len(self) > MEMORY:
-            self.clear()
-        found = self[cut] = ((self.pieces.id[cut],), (len(cut.encode()),)) if cut in self.pieces.own else self.pieces.ids_of(cut)
-        return found
-
-
-class _Numbers(dict):
-    """Ids of a cut as text; odd: the cuts that the surfaces of their ids don't give back. The rarer half goes when it is full."""
-
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.old, self.odd = pieces, {}, set()
-        self.text = {p: str(i) for p, i in pieces.id.items()}
-
-    def __missing__(self, cut: str) -> str:
         if (found := self.old.get(cut)) is None:
-            found = self.make(cut)
+            found = ((self.pieces.id[cut],), (len(cut.encode()),)) if cut in self.pieces.own else self.pieces.ids_of(cut)
         if len(self) > MEMORY:
-            self.odd &= self.keys()
             self.old = dict(self)
             self.clear()
         self[cut] = found
         return found
 
-    def make(self, cut: str) -> str:
-        pieces = self.pieces
-        if not pieces.strip:
-            try:  # pieces joined are the cut
-                return " ".join([self.text[p] for p in ((cut,) if cut in pieces.own else pieces.merge(cut))])
-            except KeyError:
-                pass
-        ids = (pieces.id[cut],) if cut in pieces.own else pieces.ids_of(cut)[0]
-        if pieces.strip or b"".join([pieces.surface[i] for i in ids]) != cut.encode():
-            self.odd.add(cut)
-        return " ".join(map(str, ids))
-
 
 def _model(df: DataFrame, path: str):
     with open(path, "rb") as f:
@@ -325,7 +296,7 @@ def decode_pieces(df: DataFrame, model_path: str) -> DataFrame:
 
 
 def piece_digests(df: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding each text, without sending the ids through Spark."""
+    """doc_id, n_tokens, and hashes of the ids, of the text decoded from them and of the ids' source spans, without sending these through Spark."""
     held = _model(df, model_path)
 
     def make():
@@ -333,8 +304,8 @@ def piece_digests(df: DataFrame, model_path: str) -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> dict:
             done = [pieces.digest(t or "") for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "n_tokens": [d[0] for d in done], "ids_sha256": [d[1] for d in done], "decoded_sha256": [d[2] for d in done]}
+            return {"doc_id": batch.column(0), "n_tokens": [d[0] for d in done], "ids_sha256": [d[1] for d in done], "decoded_sha256": [d[2] for d in done], "spans_sha256": [d[3] for d in done]}
 
         return each
 
-    return map_rows(pick(df, doc_id="long", text="string"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(pick(df, doc_id="long", text="string"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

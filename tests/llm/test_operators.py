@@ -335,7 +335,8 @@ def test_pieces_against_the_library():
         ids = lib.encode(t, add_eos=True)
         got, spans = own.encode(t)
         assert got == ids and own.decode(got) == lib.decode(ids)
-        n, a, b = own.digest(t)
+        n, a, b, c = own.digest(t)
+        assert c == hashlib.sha256(b"".join(int(v).to_bytes(8, "little") for span in spans for v in span)).hexdigest()
         assert (n, a, b) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
         assert spans[0, 0] == 0 and spans[-1, 1] == len(t.encode()) and (spans[1:, 0] == spans[:-1, 1]).all()
 
@@ -357,6 +358,51 @@ def test_normalisation_against_the_library():
             assert got == lib.normalize(t) and len(align) == len(got.encode()) + 1 and (np.diff(align) >= 0).all()
 
 
+def library_spans(lib, t):
+    from sentencepiece import sentencepiece_pb2 as pb
+
+    out = pb.SentencePieceText()
+    out.ParseFromString(lib.encode(t, out_type="serialized_proto"))
+    return [(p.id, p.begin, p.end) for p in out.pieces]
+
+
+def whole_characters(spans, is_byte):
+    """Spans with runs of byte pieces of one character as one."""
+    out, run = [], []
+    for i, a, z in spans:
+        if not is_byte[i]:
+            out += [(run[0], run[-1])] if run else []
+            run = []
+            out.append((a, z))
+        else:
+            run += [a, z]
+    return out + ([(run[0], run[-1])] if run else [])
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+def test_spans_against_the_library(rule):
+    """The model as it is, and with compiled maps in its normaliser."""
+    import sentencepiece as sp
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(open(tokenizer_path("piece_bpe_32k.model"), "rb").read())
+    if rule != "identity":
+        n = pb.ModelProto()
+        n.ParseFromString(sp.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        m.normalizer_spec.precompiled_charsmap, m.normalizer_spec.remove_extra_whitespaces = n.normalizer_spec.precompiled_charsmap, True
+    raw = m.SerializeToString()
+    lib, own = sp.SentencePieceProcessor(model_proto=raw), pieces.Pieces(raw)
+    r = random.Random(17)
+    parts = ["the", "rain ", " ", "  ", "a", "ﬁ", "Ａ", "㍿", "é", "e\u0301", "\t", "Ⅷ", "中", "😀", "…", "\n", "½"]
+    for _ in range(1500):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        ids, spans = own.encode(t, end=False)
+        want = library_spans(lib, t)
+        assert ids == [i for i, _, _ in want], t
+        assert whole_characters([(i, int(a), int(z)) for i, (a, z) in zip(ids, spans, strict=True)], own.is_byte) == whole_characters(want, own.is_byte), t
+
+
 def test_long_words_merge_alike():
     own = pieces.Pieces(open(tokenizer_path("piece_bpe_32k.model"), "rb").read())
     r = random.Random(9)
