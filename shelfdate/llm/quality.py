@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, pick, slices
 
 #: Labelled rows that the regression is fitted on at most: those whose ids hash lowest.
-SAMPLE = 2400
-BUCKETS, KEEP = 2048, 0.5
+SAMPLE = 3000
+BUCKETS, KEEP = 4096, 0.5
 #: Bytes of text laid out at once.
 CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
@@ -97,14 +97,14 @@ class Laid:
         return np.bincount(d[np.cumsum(cover)[:-1] > 0], minlength=self.n)
 
     def word_buckets(self) -> np.ndarray:
-        return (self.words >> np.uint64(53)).astype(np.int64)
+        return (self.words >> np.uint64(52)).astype(np.int64)
 
     def trigram_buckets(self) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the byte trigrams and the text of each; the last of a text ends in the two spaces behind it."""
         b = self.buffer.astype(np.uint32)
         key = (b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(0x9E3779B1)
         inside = self.doc[:-2] == self.doc[2:]
-        return (key >> np.uint32(21)).astype(np.int64)[inside], self.doc[:-2][inside]
+        return (key >> np.uint32(20)).astype(np.int64)[inside], self.doc[:-2][inside]
 
 
 def laid(texts: list[str | None]):
@@ -152,8 +152,30 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, size: int = SAMP
     return pick(documents, doc_id="long", text="string").where("text is not null").join(F.broadcast(few), "doc_id")
 
 
-def features(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket shares of the sample's texts as a matrix, and their labels, in order of id."""
+@dataclass
+class Shares:
+    """Bucket shares of texts, those over 0 alone: row, bucket and share of each, and the rows' labels."""
+
+    row: np.ndarray
+    at: np.ndarray
+    share: np.ndarray
+    y: np.ndarray
+
+    def rows(self, chosen: np.ndarray) -> Shares:
+        own = chosen[self.row]
+        return Shares((np.cumsum(chosen) - 1)[self.row[own]], self.at[own], self.share[own], self.y[chosen])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """A number for each row: its shares by the buckets' weights."""
+        return np.bincount(self.row, weights=self.share * w[self.at], minlength=len(self.y))
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        """A number for each bucket: its shares by the rows' weights."""
+        return np.bincount(self.at, weights=self.share * d[self.row], minlength=2 * BUCKETS)
+
+
+def features(df: DataFrame) -> Shares:
+    """The bucket shares of the sample's texts and their labels, in order of id."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
@@ -170,37 +192,36 @@ def features(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         return each
 
-    rows = map_rows(df.select("doc_id", "text", "y"), make, "doc_id long, y int, at array<int>, share array<float>").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    x = np.zeros((len(order), 2 * BUCKETS), np.float32)
+    rows = map_rows(df.select("doc_id", "text", "y"), make, "doc_id long, y int, at array<int>, share array<float>").toArrow().sort_by("doc_id")
     at, share = rows.column("at").combine_chunks(), rows.column("share").combine_chunks()
-    for i, k in enumerate(order):
-        x[i, at[k].values.to_numpy()] = share[k].values.to_numpy()
-    return x, rows.column("y").to_numpy()[order].astype(float)
+    sizes = np.diff(at.offsets.to_numpy())
+    return Shares(np.repeat(np.arange(len(sizes)), sizes), at.flatten().to_numpy(), share.flatten().to_numpy(), rows.column("y").to_numpy().astype(float))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> Model | None:
+def fit(x: Shares, rounds: int = 150, ridge: float = 1e-4) -> Model | None:
     """Accelerated gradient descent on the logistic loss over scaled columns; every fourth row is left for calibration."""
+    y = x.y
     if len(set(y)) < 2:
         return None
     aside = np.arange(len(y)) % 4 == 3
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside = np.zeros(len(y), bool)
-    scaled, yt = x[~aside], y[~aside]
-    spread = np.sqrt(np.einsum("ij,ij->j", scaled, scaled) / len(scaled)) + np.float32(1e-4)
-    scaled /= spread
+    own = x.rows(~aside)
+    yt = own.y
+    spread = np.sqrt(np.bincount(own.at, weights=own.share**2, minlength=2 * BUCKETS) / len(yt)) + 1e-4
+    scaled = Shares(own.row, own.at, own.share / spread[own.at], yt)
     weight = np.where(yt == 1, 0.5 / max(1, yt.sum()), 0.5 / max(1, (1 - yt).sum()))
-    step = 4 / float(np.einsum("ij,ij->i", scaled, scaled).max() + 1)
-    w, old, b, old_b = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0.0, 0.0
+    step = 4 / float(np.bincount(scaled.row, weights=scaled.share**2, minlength=len(yt)).max() + 1)
+    w, old, b, old_b = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS), 0.0, 0.0
     for k in range(rounds):
         look, look_b = w + k / (k + 3) * (w - old), b + k / (k + 3) * (b - old_b)
-        d = (weight * (1 / (1 + np.exp(-np.clip(scaled @ look + look_b, -30, 30))) - yt)).astype(np.float32)
+        d = weight * (1 / (1 + np.exp(-np.clip(scaled.times(look) + look_b, -30, 30))) - yt)
         old, old_b = w, b
-        w, b = look - 30 * step * (scaled.T @ d + ridge * look), look_b - 30 * step * d.sum()
-    flat = (w / spread).astype(float)
+        w, b = look - 30 * step * (scaled.back(d) + ridge * look), look_b - 30 * step * d.sum()
+    flat = w / spread
     model = Model(flat[:BUCKETS], flat[BUCKETS:], float(b))
-    xc, yc = (x[aside], y[aside]) if aside.any() else (x, y)
-    z, s, t = xc @ flat + b, 1.0, 0.0
+    held = x.rows(aside) if aside.any() else x
+    z, yc, s, t = held.times(flat) + b, held.y, 1.0, 0.0
     for _ in range(500):  # Platt scaling by Newton's steps
         p = 1 / (1 + np.exp(-np.clip(s * z + t, -30, 30)))
         g = np.array([((p - yc) * z).mean() + 1e-3 * s, (p - yc).mean()])
@@ -212,7 +233,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-4) ->
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
-    return fit(*features(sample(documents, labels, label)))
+    return fit(features(sample(documents, labels, label)))
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
