@@ -1,11 +1,12 @@
 """Operator 1: secret scan. Base rules, and a character convolutional network over every candidate and its context.
 
-The base rules give spans of three kinds (assign, access, hex). Candidates of the network are those spans and every other
-run of 16 or more token characters that holds a digit; its input is the candidate's first and last characters and the
-characters on either side. It is trained in numpy on labelled findings made by rule from public credential formats and
+The base rules give spans of three kinds (assign, access, hex). Candidates of the network are those spans and, of every run
+of token characters, what they leave of it in pieces of 16 or more with a digit. Its input is the candidate's first and last
+characters and the characters on either side; a longer candidate is also read in views that slide over it, and its score is
+the highest. It is trained in numpy on labelled findings made by rule from public credential formats and
 from things that look alike (cards, addresses, versions, paths, identifiers). Scores are calibrated on findings that it
-was not trained on; the threshold is the highest that keeps the wanted recall there. Candidates over it become spans of
-kind model, unless they touch a base span; base spans always stay.
+was not trained on; the threshold is the highest that keeps the wanted recall there. Other candidates over it become
+spans of kind model; base spans always stay.
 
 Cases: null text is the empty text, which has no span; rows are independent, so repeated rows and null ids give a row
 each; empty tables give no rows; other columns are ignored. Offsets are code points, ends exclusive.
@@ -28,12 +29,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "model")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]*[0-9][A-Za-z0-9+/_=.-]*")
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+DIGIT = re.compile(r"[0-9]")
 MIN_CANDIDATE = 16
 #: Characters of the candidate's head and of its tail, and of the context on each side.
 HALF, SIDE = 24, 16
 WIDTH = 2 * HALF + 2 * SIDE
-FINDINGS, RECALL = 1600, 0.98
+#: Findings made for training, and again as many for calibration.
+FINDINGS, RECALL = 1200, 0.98
+#: Views scored at once, about: bounds a worker's memory, however long a candidate is.
+VIEWS = 4096
 
 _WORDS = tuple(w.encode() for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
 _NO_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
@@ -55,11 +60,29 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
 
 
 def other_candidates(text: str, spans: list[tuple[int, int, int]], raw: bytes | None = None) -> list[tuple[int, int]]:
-    """Long token runs with a digit that touch no base span."""
+    """What base spans leave of long token runs, in pieces that are long enough and hold a digit."""
     raw = text.encode() if raw is None else raw
     if not raw.translate(None, _NO_DIGIT):
         return []
-    return [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if m.end() - m.start() >= MIN_CANDIDATE and not any(m.start() < e and s < m.end() for s, _, e in spans)]
+    out, bounds, k = [], sorted((s, e) for s, _, e in spans), 0
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        while k < len(bounds) and bounds[k][1] <= at:
+            k += 1
+        j = k
+        while j < len(bounds) and bounds[j][0] < end:  # base spans may overlap one another
+            out.append((at, bounds[j][0]))
+            at = max(at, bounds[j][1])
+            j += 1
+        out.append((at, end))
+    return [(s, e) for s, e in out if e - s >= MIN_CANDIDATE and DIGIT.search(text, s, e)]
+
+
+def views(start: int, end: int) -> list[tuple[int, int]]:
+    """The candidate, and if it is longer than a window shows, pieces of that length that overlap by half and cover it."""
+    if end - start <= 2 * HALF:
+        return [(start, end)]
+    return [(start, end), *((s, s + 2 * HALF) for s in range(start, end - 2 * HALF, HALF)), (end - 2 * HALF, end)]
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
@@ -95,6 +118,20 @@ class CharNet:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
 
+    def scores(self, candidates: list[tuple[str, int, int]]) -> np.ndarray:
+        """Of each candidate (text, start, end) the highest probability of its views."""
+        best, inputs, of = np.zeros(len(candidates)), [], []
+        for i, (text, start, end) in enumerate(candidates):
+            for s, e in views(start, end):
+                inputs.append(window(text, s, e))
+                of.append(i)
+                if len(inputs) >= VIEWS:
+                    np.maximum.at(best, of, self.probability(np.stack(inputs)))
+                    inputs, of = [], []
+        if inputs:
+            np.maximum.at(best, of, self.probability(np.stack(inputs)))
+        return best
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.01, seed: int = 7) -> CharNet:
         r = np.random.default_rng(seed)
         m, v, step = {k: np.zeros_like(a) for k, a in self.w.items()}, {k: np.zeros_like(a) for k, a in self.w.items()}, 0
@@ -116,15 +153,15 @@ class CharNet:
                     self.w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> CharNet:
-        """Platt scaling on held-out findings, then the highest threshold of at least this recall there, and never under one half."""
-        z, a, b = self.logits(x), 1.0, 0.0
+    def calibrate(self, rows: list[tuple[str, int, int]], y: np.ndarray, recall: float) -> CharNet:
+        """Platt scaling on held-out findings, then the highest threshold of at least this recall there."""
+        z, a, b = self.logits(np.stack([window(*r) for r in rows])), 1.0, 0.0
         for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             a, b = a - 0.05 * (((p - y) * z).mean() + 1e-3 * a), b - 0.05 * (p - y).mean()
         self.scale, self.shift = float(a), float(b)
-        own = np.sort(self.probability(x)[y == 1])
-        self.threshold = max(0.5, float(own[int((1 - recall) * len(own))])) if len(own) else 0.5
+        own = np.sort(self.scores(rows)[y == 1])
+        self.threshold = float(own[int((1 - recall) * len(own))]) if len(own) else 0.5
         return self
 
 
@@ -154,11 +191,10 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
 
 
 def trained_net(findings: int = FINDINGS, recall: float = RECALL, seed: int = 11) -> CharNet:
-    """The network, trained on three quarters of the labelled findings and calibrated on the rest."""
-    rows, y = labelled_findings(findings, seed)
-    x = np.stack([window(*r) for r in rows])
-    cut = findings * 3 // 4
-    return CharNet().fit(x[:cut], y[:cut]).calibrate(x[cut:], y[cut:], recall)
+    """The network, trained on labelled findings and calibrated on as many others."""
+    rows, y = labelled_findings(2 * findings, seed)
+    x = np.stack([window(*r) for r in rows[:findings]])
+    return CharNet().fit(x, y[:findings]).calibrate(rows[findings:], y[findings:], recall)
 
 
 def scan_secrets(df: DataFrame, net: CharNet | None = None) -> DataFrame:
@@ -170,17 +206,13 @@ def scan_secrets(df: DataFrame, net: CharNet | None = None) -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found, inputs, where = [], [], []
+            found: list[list] = [[] for _ in texts]
+            where = []
             for i, t in enumerate(texts):
                 raw = t.encode()
                 base = base_spans(t, raw)
-                more = other_candidates(t, base, raw)
-                found.append([])
-                for s, k, e in [*base, *((s, 3, e) for s, e in more)]:
-                    inputs.append(window(t, s, e))
-                    where.append((i, s, k, e))
-            scores = model.probability(np.stack(inputs)) if inputs else ()
-            for (i, s, k, e), p in zip(where, scores, strict=True):
+                where += [(i, s, k, e) for s, k, e in (*base, *((s, 3, e) for s, e in other_candidates(t, base, raw)))]
+            for (i, s, k, e), p in zip(where, model.scores([(texts[i], s, e) for i, s, _, e in where]), strict=True):
                 if k < 3 or p >= model.threshold:
                     found[i].append((s, k, e, float(p)))
             return {"doc_id": batch.column(0), "spans": [[{"kind": KINDS[k], "start": s, "end": e, "score": p} for s, k, e, p in sorted(f)] for f in found]}

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -52,8 +53,27 @@ def test_base_spans_against_brute_force():
 def test_network_finds_and_spares():
     net = secrets.trained_net()
     rows, y = secrets.labelled_findings(400, 123)
-    p = net.probability(np.stack([secrets.window(*x) for x in rows])) >= net.threshold
-    assert p[y == 1].mean() > 0.9 and (~p[y == 0]).mean() > 0.95
+    p = net.scores(rows) >= net.threshold
+    assert p[y == 1].mean() > 0.95 and (~p[y == 0]).mean() > 0.95
+
+
+def test_candidates_are_what_base_spans_leave_of_runs():
+    t = "x/" + "k9" * 10 + "/" + "0a" * 12 + "/" + "Zq3" * 7 + " " + "letters" * 9
+    base = secrets.base_spans(t)
+    assert [t[s:e] for s, e in secrets.other_candidates(t, base)] == ["x/" + "k9" * 10 + "/", "/" + "Zq3" * 7]
+    for n in (10, 48, 49, 100, 1000):
+        seen = set()
+        for s, e in secrets.views(3, 3 + n)[n > 48 :]:
+            assert e - s <= 48
+            seen |= set(range(s, e))
+        assert seen == set(range(3, 3 + n))
+
+
+def test_long_texts_take_linear_time():
+    for t in ("abcdefghij" * 100_000, ("0a" * 12 + " ") * 20_000):
+        began = time.process_time()
+        secrets.other_candidates(t, secrets.base_spans(t))
+        assert time.process_time() - began < 5
 
 
 def test_secrets_of_awkward_rows(spark):
