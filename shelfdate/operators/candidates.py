@@ -13,7 +13,8 @@ from ..functions.dates import LabelConfig, cells, read_triple, valid_cells, year
 from ..functions.text import U, any_of, colon_date, fold_separators, let, nfkc_arrow, nfkc_native, noise, strip, strip_noise
 
 MONTHS = fixed.month_spellings()
-_NAMED = U + r"(?s)\A(.*?)(?<![A-Z])(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")(?![A-Z])(.*)\z"
+_NAME = r"(?<![A-Z])(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")(?![A-Z])"
+_NAMED = U + r"(?s)\A(.*?)" + _NAME + r"(.*)\z"
 CANDIDATE = "array<struct<score:int,why:array<string>,y:int,m:int,d:int,fb:boolean,src:string>>"
 _RAW = "array<struct<a:int,b:int,c:int,ctx:string,cut:boolean,fb:boolean,src:string>>"
 
@@ -85,8 +86,10 @@ def beside_month(left: Column, right: Column, month: Column, config: LabelConfig
 @steps
 def month_candidates(config: LabelConfig):
     """_months: candidates from month names, token by token, and last the first month that got none. Wants _clean: tokens without noise."""
-    token = lambda tk, i: F.struct(F.regexp_extract(tk, _NAMED, 2).alias("name"), F.regexp_extract(tk, _NAMED, 1).alias("left"), F.regexp_extract(tk, _NAMED, 3).alias("right"), F.coalesce(F.get("_clean", i - 1), F.lit("")).alias("prev"), F.coalesce(F.get("_clean", i + 1), F.lit("")).alias("next"), tk.alias("tk"))
-    yield held(_named=F.filter(F.transform("_clean", token), lambda x: x["name"] != ""))
+    # every name has a letter; what stands beside it is only looked for where there is one
+    token = lambda tk, i: F.struct(F.when(tk.rlike("[A-Z]"), F.regexp_extract(tk, U + _NAME, 1)).otherwise("").alias("name"), tk.alias("tk"), i.alias("i"))
+    beside = lambda x: F.struct(x["name"].alias("name"), F.regexp_extract(x["tk"], _NAMED, 1).alias("left"), F.regexp_extract(x["tk"], _NAMED, 3).alias("right"), F.coalesce(F.get("_clean", x["i"] - 1), F.lit("")).alias("prev"), F.coalesce(F.get("_clean", x["i"] + 1), F.lit("")).alias("next"), x["tk"].alias("tk"))
+    yield held(_named=F.transform(F.filter(F.transform("_clean", token), lambda x: x["name"] != ""), beside))
 
     def dated(x: Column) -> Column:
         month = F.element_at(month_map(), x["name"])

@@ -21,7 +21,7 @@ from .resolver import resolve_dates, tokens_from_boxes
 
 #: engine(image, src, crop) gives dicts: text, conf, polygon (list of x, y) and sx, sy, ox, oy back to the image.
 Engine = Callable[[dict, str, list[int] | None], list[dict]]
-_READ = "image_id string, text string, conf double, polygon array<array<double>>, sx double, sy double, ox double, oy double, seq int, error string"
+_READ = "image_id string, text string, conf double, polygon array<array<double>>, sx double, sy double, ox double, oy double, seq int, error string, sec double"
 
 
 @dataclass(frozen=True)
@@ -39,26 +39,32 @@ RUNGS = [*(Rung(f"scale{s}", 0) for s in SCALES), Rung("clahe1280", 0, soft=True
 
 
 def _reader(engine: Engine, rung: Rung):
+    columns = [c.split()[0] for c in _READ.split(", ")]
+
     def read(batches):
         for pdf in batches:
             out = []
             for image in pdf.to_dict("records"):
-                crop = image.pop("crop", None)
+                crop, began = image.pop("crop", None), time.perf_counter()
                 try:
                     boxes = engine(image, rung.src, None if crop is None else [int(v) for v in crop])
-                    out += [{"image_id": image["image_id"], "text": b["text"], "conf": round(float(b.get("conf", 1.0)), 3), "polygon": [[float(v) for v in p] for p in b["polygon"]], **{k: float(b.get(k, d)) for k, d in (("sx", 1.0), ("sy", 1.0), ("ox", 0.0), ("oy", 0.0))}, "seq": i, "error": None} for i, b in enumerate(boxes)]
+                    out += [{"image_id": image["image_id"], "text": b["text"], "conf": round(float(b.get("conf", 1.0)), 3), "polygon": [[float(v) for v in p] for p in b["polygon"]], **{k: float(b.get(k, d)) for k, d in (("sx", 1.0), ("sy", 1.0), ("ox", 0.0), ("oy", 0.0))}, "seq": i, "error": None, "sec": None} for i, b in enumerate(boxes)]
+                    error = None
                 except Exception as e:  # one bad image doesn't end the others
-                    out.append({"image_id": image["image_id"], "text": None, "conf": None, "polygon": None, "sx": None, "sy": None, "ox": None, "oy": None, "seq": -1, "error": None if rung.soft else repr(e)[:200]})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _READ.split(", ")])
+                    error = None if rung.soft else repr(e)[:200]
+                # one row without a box tells how the reading went
+                out.append(dict.fromkeys(columns) | {"image_id": image["image_id"], "seq": -1, "error": error, "sec": time.perf_counter() - began})
+            yield pd.DataFrame(out, columns=columns)
 
     return read
 
 
-def run_ladder(images: DataFrame, engine: Engine, config: LabelConfig | None = None, max_stage: float = 4, deadline: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Results (image_id, the resolver's columns, stage) and boxes. images: image_id, width, height and what the engine wants. deadline: no rung starts after that time; images then leave with the last stage begun."""
+def run_ladder(images: DataFrame, engine: Engine, config: LabelConfig | None = None, max_stage: float = 4, deadline: float | None = None, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results (image_id, the resolver's columns, stage, and sec: what its readings took) and boxes. images: image_id, width, height and what the engine wants. deadline: no rung starts after that time; images then leave with the last stage begun. seconds: what the readings of one image may take; it leaves after the reading that goes beyond, with that reading's stage."""
     spark = images.sparkSession
     images = written(images)
     boxes = spark.createDataFrame([], "image_id string, stage_ord int, box_seq int, text string, conf double, src string, box array<int>")
+    spent = spark.createDataFrame([], "image_id string, sec double")
     left = written(images.select("image_id"))
     exits: list[DataFrame] = []
     crops = None
@@ -98,6 +104,7 @@ def run_ladder(images: DataFrame, engine: Engine, config: LabelConfig | None = N
                 crops = written(crop_boxes(base.join(images.select("image_id", "width", "height"), "image_id")))
             some = some.join(crops.where(F.col("place") == rung.crop).select("image_id", "crop"), "image_id")
         read = written(some.mapInPandas(_reader(engine, rung), _READ))
+        spent = spent.unionByName(read.where("sec is not null").select("image_id", "sec"))
         failed = read.where("error is not null").select("image_id").distinct()
         new = read.where("text is not null").select("image_id", F.lit(ord_).alias("stage_ord"), F.col("seq").alias("box_seq"), "text", "conf", F.lit(rung.src).alias("src"), bounding_box(F.col("polygon"), F.col("sx"), F.col("sy"), F.col("ox"), F.col("oy")).alias("box"))
         boxes = boxes.unionByName(new)
@@ -105,6 +112,8 @@ def run_ladder(images: DataFrame, engine: Engine, config: LabelConfig | None = N
             leave(failed, -1)
         if rung.src != "enhance":
             leave(written(resolved(new.select("image_id").distinct().join(left, "image_id", "left_semi")).where(whole).select("image_id")), rung.stage)
+        if seconds is not None and (rung.src.startswith(("scale", "rot", "bin", "up")) or rung.crop == 6):
+            leave(written(spent.groupBy("image_id").agg(F.sum("sec").alias("sec")).where(F.col("sec") > seconds).join(left, "image_id", "left_semi").select("image_id")), rung.stage)
     leave(left, last)
     stages = exits[0]
     for e in exits[1:]:
@@ -112,7 +121,8 @@ def run_ladder(images: DataFrame, engine: Engine, config: LabelConfig | None = N
     stages = written(stages)
     good = stages.where("stage >= 0").select("image_id")
     done = resolved(good).unionByName(resolve_dates(stages.where("stage < 0").select("image_id", no.alias("items")), config)).drop("items")
-    return done.join(stages, "image_id"), boxes
+    sec = spent.groupBy("image_id").agg(F.round(F.sum("sec"), 2).alias("sec"))
+    return done.join(stages, "image_id").join(sec, "image_id", "left").withColumn("sec", F.coalesce("sec", F.lit(0.0))), boxes
 
 
 def budget(images: int, workers: int = 4, seconds: float = 2100.0, spent: float = 0.0) -> float:

@@ -50,6 +50,20 @@ def test_ladder_stops_at_max_stage(spark):
     assert run_ladder(images, scripted(), CONFIG, max_stage=0)[0].first().stage == 0.0
 
 
+def test_an_image_leaves_when_its_time_is_up(spark):
+    def engine(image, src, crop):
+        import time
+
+        time.sleep(0.4 if image["image_id"] == "slow" and src != "scale800" else 0)
+        return [{"text": "lot 7", "polygon": [[0, 0], [9, 0], [9, 9], [0, 9]]}]
+
+    images = spark.createDataFrame([("slow", 1600, 1200), ("quick", 1600, 1200)], "image_id string, width int, height int")
+    results, boxes = run_ladder(images, engine, CONFIG, max_stage=1, seconds=0.3)
+    out = {r.image_id: r for r in results.collect()}
+    assert out["slow"].stage == 0.0 and out["quick"].stage == 1.0 and 0.4 <= out["slow"].sec < 2 and out["quick"].sec < 0.3
+    assert {r.src for r in boxes.where("image_id = 'slow'").collect()} == {"scale800", "scale1280"}
+
+
 def test_crops(spark):
     rows = [("a", 0, i, "n1" if i % 2 else "n", [10, 10, 10 + 5 * i, 20], 100, 50) for i in range(16)] + [("b", 0, 0, "x", [0, 0, 1, 1], 5, 5)]
     boxes = spark.createDataFrame(rows, "image_id string, stage_ord int, box_seq int, text string, box array<int>, width int, height int")
@@ -96,7 +110,14 @@ def test_run_log_score_and_running_score(spark, tmp_path):
     assert evaluate.stage_map(run).first().stages == {"0": 1, "1.5": 1}
     q = running_score(spark, str(log), gold, str(tmp_path / "cp"), str(tmp_path / "scores"))
     q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "scores")).first().n == 2
+    one = spark.read.parquet(str(tmp_path / "scores/scores"))
+    assert [(r.batch, r.n, r.sec_median) for r in one.collect()] == [(0, 2, 3.0)]
+    (log / "2.jsonl").write_text("".join(json.dumps(log_row(f"{i:06d}", "29", sec=0.5)) + "\n" for i in (1, 2, 2)))
+    running_score(spark, str(log), gold, str(tmp_path / "cp"), str(tmp_path / "scores")).awaitTermination()
+    two = {r.batch: r for r in spark.read.parquet(str(tmp_path / "scores/scores")).collect()}
+    whole = evaluate.score(files.read_run_log(spark, str(log)), gold).first().asDict()
+    assert two[0].n == 2 and {k: two[1][k] for k in whole} == whole and (two[1].n, two[1].sec_median) == (5, 0.5)
+    assert evaluate.report(spark.createDataFrame([("r", *evaluate.score(run, gold).first())], "name string, n long, full long, full_pct double, cells_pct double, false_positive long, miss_all_none long, sec_mean double, sec_median double, sec_max double, min_4core_500 double")).first().line.startswith("r   ")
 
 
 def test_score_of_nothing(spark):
