@@ -392,3 +392,108 @@ def prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id") % 7
     raw = F.when(k == 0, F.lit(None)).when(k == 1, "").when(k == 2, " nan ").when(k == 3, "-").when(k == 4, "null").otherwise(_fmt("yyyy"))
     return predictions(_orders(spark, sf_dir).select(F.col("id").alias("image_id"), raw.alias("year"), _fmt("MM").alias("month"), _fmt("dd").alias("day"), _fmt("yyyy-MM-dd").alias("final_date")))
+
+
+@query(f"""select id, {_CELLS}, case id % 3 when 0 then '{fixed.RULES["YMD"]}' when 1 then '{fixed.RULES["YMD"]} + {fixed.WHY["expiry"]}' else '{fixed.RULES["YMD"]} + {fixed.WHY["made"]}' end as rule,
+ case id % 3 when 0 then 0.62 when 1 then 0.87 else 0.33 end::double as score, case id % 3 when 0 then 20 when 1 then 50 else -15 end as margin from {_EV}""")
+def rule_and_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a date was taken, and how sure that is."""
+    k = F.col("id") % 3
+    return _resolve(_events(spark, sf_dir), F.concat(F.when(k == 0, "").when(k == 1, "EXP ").otherwise("MFG "), _fmt("yyyy.MM.dd")), more=("rule", "score", "margin"))
+
+
+@query(f"select id, {_CELLS} from {_EV}")
+def parse_full_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-width digits and separators, by NFKC in Arrow batches."""
+    wide = F.translate(_fmt("yyyy.MM.dd"), "0123456789.", "０１２３４５６７８９．")
+    return _resolve(_events(spark, sf_dir), wide, config=LabelConfig(as_of_year=2026))
+
+
+@query(f"select id, string_agg(strftime(d, '%Y-%-m-%-d'), ' ' order by d desc, line) as cands from {_LI} group by id")
+def all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates in the order of their rank."""
+    items = F.array_sort(F.collect_list(F.struct("line", _fmt("yyyy.MM.dd").alias("text"))))
+    rows = _lines(spark, sf_dir).groupBy("id").agg(F.transform(items, lambda x: F.struct(x["text"].alias("text"), F.lit(None).cast("string").alias("src"))).alias("items"))
+    return resolve_dates(rows, CONFIG).select("id", F.array_join(F.transform("all_cands", lambda c: F.concat_ws("-", c["y"], c["m"], c["d"])), " ").alias("cands"))
+
+
+@query(f"select id, {_CELLS}, 140 as margin from {_EV}")
+def month_in_next_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month's name whose numbers are in the tokens beside it: found through the neighbours, for 30 points less."""
+    return _resolve(_events(spark, sf_dir), _fmt("dd"), F.upper(_fmt("MMM")), _fmt("yyyy"), more=("margin",))
+
+
+@query(f"select id, 'NONE' as year, strftime(d, '%m') as month, 'NONE' as day, 'NONE-' || strftime(d, '%m') || '-NONE' as final_date, 5 as margin from {_OR}")
+def month_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month's name without any number is a month."""
+    return _resolve(_orders(spark, sf_dir), F.concat(F.lit("BEST "), F.upper(_fmt("MMM"))), more=("margin",))
+
+
+@query(f"select id, {_CELLS}, 2 as votes from {_EV}")
+def vote_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reading paths that agree beat a later date of one, where votes earn points."""
+    later = F.date_format(F.add_months("d", 12), "yyyy.MM.dd")
+    items = F.array(*[F.struct(t.alias("text"), F.lit(s).alias("src")) for t, s in ((_fmt("yyyy.MM.dd"), "scale800"), (later, "scale800"), (_fmt("yyyy.MM.dd"), "rot90"))])
+    rows = _spread(_events(spark, sf_dir).select("id", items.alias("items")))
+    return resolve_dates(rows, LabelConfig(as_of_year=2026, nfkc="native", votes=((2, 15),))).select("id", "year", "month", "day", "final_date", "votes")
+
+
+@query(f"select id, {_CELLS}, 20 as margin from {_EV}")
+def parse_joined_year_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year and month without a separator, then the day."""
+    return _resolve(_events(spark, sf_dir), _fmt("yyyyMM.dd"), more=("margin",))
+
+
+@query(f"select id, line, l_partkey % 200 * 2 + 3 as x0, l_suppkey % 50 * 2 + 1 as y0, (l_partkey % 200 + cast(l_quantity as integer)) * 2 + 3 as x1, (l_suppkey % 50 + 10) * 2 + 1 as y1 from {_LI}")
+def box_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons to bounding boxes, scaled and shifted."""
+    from ..operators.boxes import bounding_box
+
+    n = lambda c: c.cast("double")
+    x0, y0, q = n(F.col("l_partkey") % 200), n(F.col("l_suppkey") % 50), n(F.col("l_quantity").cast("int"))
+    polygon = F.array(F.array(x0 + 0.25, y0 + 10), F.array(x0 + q, y0 + 0.25), F.array(x0, y0), F.array(x0 + q, y0 + 10))
+    box = bounding_box(polygon, F.lit(2.0), F.lit(2.0), F.lit(3.0), F.lit(1.0))
+    return _lines(spark, sf_dir).select("id", "line", *[F.get(box, F.lit(i)).cast("long").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query("select s_suppkey as id, cast(s_suppkey as varchar) || '.x' as image_id from supplier")
+def image_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids from the paths of files."""
+    from ..sources.files import image_id
+
+    k = F.col("s_suppkey").cast("string")
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), image_id(F.concat(F.lit("file:/a.b/"), k, F.lit(".x"), F.when(F.col("s_suppkey") % 2 == 0, ".JPG").otherwise(".png"))).alias("image_id"))
+
+
+_ID = "case when length(cast(id as varchar)) < 6 then lpad(cast(id as varchar), 6, '0') else cast(id as varchar) end"
+
+
+def _folder(spark: SparkSession) -> str:
+    import uuid
+
+    from ..sources.stored import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@query(f"select {_ID} as image_id, year, month, day, final_date from {_GOLD}")
+def labels_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions written as CSV and read again as labels."""
+    from ..sources.files import read_labels, write_predictions
+
+    folder = _folder(spark)
+    write_predictions(_gold(spark, sf_dir), folder)
+    return read_labels(spark, folder)
+
+
+@query(f"select {_ID} as image_id, year, month, day, sec, stage from {_run_sql(10)}")
+def run_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run log added to twice, with a line that doesn't parse, read again, and of each image the last row."""
+    from ..sources.files import append_run_log, last_runs, read_run_log
+
+    folder = _folder(spark)
+    run = _padded(_run(spark, sf_dir, 10))
+    append_run_log(run.where("stage < 1").withColumn("sec", F.lit(-1.0)), folder)
+    append_run_log(run, folder)
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(folder)
+    return last_runs(read_run_log(spark, folder), "sec").select("image_id", "year", "month", "day", "sec", "stage")

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a folder of our own on a local master, as in tests; a cluster's executors share none, so that there it must be named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "shelfdate-checkpoints"))
     return spark.sparkContext.getCheckpointDir()
 
