@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfdate.llm import decontaminate, line_dedup, near_dedup, pieces, quality
-from shelfdate.llm.common import table, written
+from shelfdate.llm.common import dropped, table, written
 from shelfdate.llm.queries import tokenizer_path
 
 
@@ -41,8 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each stage's result written as Parquet in the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order over documents, each stage's result written as Parquet in the shared folder, read by the next and removed when that is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
