@@ -37,6 +37,8 @@ SPAN, KEY = 100, 32
 LIMIT, BUCKET = 200, 2000
 #: Bytes of snippets in a shard, and of text that is laid out at once.
 SHARD, CHUNK = 1 << 16, 1 << 19
+#: Bits of a place among texts laid out together. Anchors go by the other bits of hashes, as many whatever is laid out, so that ties break alike everywhere.
+PLACE = 32
 _BASE = 0x5851F42D4C957F2D | 1
 
 
@@ -51,7 +53,7 @@ def runs(raws: list[bytes], span: int = SPAN, key: int = KEY) -> tuple[np.ndarra
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * _powers(len(buffer), _BASE), dtype=np.uint64)])
     n = len(buffer) - key + 1
     grams = _mix((total[key:] - total[:n]) * _powers(len(buffer), pow(_BASE, -1, 1 << 64))[:n])
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(PLACE)
     least = (grams >> bits << bits) | np.arange(n, dtype=np.uint64)  # of equal hashes the leftmost
     width, have = span - key + 1, 1
     while have * 2 <= width:

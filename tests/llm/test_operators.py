@@ -547,6 +547,18 @@ def test_strings_against_brute_force(spark, monkeypatch, limit):
     assert got == brute_strings(rows)
 
 
+def test_anchors_do_not_depend_on_what_is_laid_out_beside(monkeypatch):
+    """Also where hashes nearly tie."""
+    mixed = suffix_dedup._mix
+    monkeypatch.setattr(suffix_dedup, "_mix", lambda x: mixed(x) & np.uint64(0xFFFFF))
+    rng = random.Random(8)
+    text = bytes(rng.choices(b"abcdefgh ", k=700))
+    beside = bytes(rng.choices(b"abcdefgh ", k=1 << 18))
+    alone, among = suffix_dedup.runs([text]), suffix_dedup.runs([text, beside])
+    own = among[0] == 0
+    assert len(alone[0]) and all((a == b[own]).all() for a, b in zip(alone[1:], among[1:], strict=True))
+
+
 def test_merged_intervals_against_sets():
     r = random.Random(12)
     for shard in (64, 500, 1 << 16):
