@@ -3,7 +3,8 @@
 Normalisation walks the text by longest prefix through the model's compiled character map (a double-array trie) and notes
 for each normalised character the source byte where it came from. Encoding merges on the normalised text, so that every
 piece is projected through that alignment to a span of source bytes. Pieces never cross from a letter into a following
-space mark, nor touch a character that no piece holds; the text is cut there and each cut's merge result is remembered.
+space mark, nor touch a character that no piece holds; the text is cut there and each cut's merge result is remembered. Cuts
+that aren't known yet are merged side by side, each step the best pair of every cut.
 
 Cases: null text is the empty text, which has the end id alone; rows are independent, so repeated rows and null ids give a
 row each; empty tables give no rows; other columns are ignored. Characters that no piece holds become byte pieces.
@@ -15,6 +16,7 @@ import hashlib
 import heapq
 import re
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ SPACE = "▁"
 NEVER = float("-inf")
 #: Cuts remembered by one task; when it is full the rarer half goes.
 MEMORY = 100_000
+#: Characters of the longest cuts that are merged side by side, and of texts whose cuts are merged at once, about.
+WIDE, AT_ONCE = 64, 1 << 20
 
 
 class CharacterMap:
@@ -72,6 +76,7 @@ class Pieces:
         self.id = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (1, 4)}
         self.score = {p.piece: p.score for p in m.pieces if p.type == 1}
         self.own = sorted((p.piece for p in m.pieces if p.type == 4), key=len, reverse=True)  # user-defined: never merged or split
+        self.whole = frozenset(self.own)
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == 2)
         self.end = next((i for i, p in enumerate(m.pieces) if p.piece == (m.trainer_spec.eos_piece or "</s>") and p.type == 3), None)
@@ -88,6 +93,7 @@ class Pieces:
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.cut = (lambda s: [s] if s else []) if crosses else re.compile(cut + ("|\n" if line else "")).findall
         self.keep = re.compile("(" + "|".join(map(re.escape, self.own)) + ")") if self.own else None
+        self.pairs = _Pairs(self.score, self.id, len(m.pieces))
         self.memory = _Cuts(self)
         self.decimal = [str(i) for i in range(len(m.pieces))]
 
@@ -133,7 +139,7 @@ class Pieces:
 
     def merge(self, cut: str) -> list[str]:
         """The best-scored adjacent pair that is a piece merges first, the leftmost of equals."""
-        if len(cut) > 64:
+        if len(cut) > WIDE:
             return self._merge_long(cut)
         score, parts = self.score, list(cut)
         pairs = [score.get(a + b, NEVER) for a, b in zip(cut, cut[1:], strict=False)]
@@ -170,7 +176,7 @@ class Pieces:
                 heapq.heappush(heap, (-score[q], h, len(q)))
         return [p for p in parts if p is not None]
 
-    def ids_of(self, cut: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    def ids_of(self, cut: str) -> tuple[list[int], list[int]]:
         """Ids of a cut and the normalised bytes of each."""
         ids, sizes = [], []
         for p in self.merge(cut):
@@ -186,22 +192,28 @@ class Pieces:
             else:
                 ids.append(self.unknown)
                 sizes.append(len(raw))
-        return tuple(ids), tuple(sizes)
+        return ids, sizes
 
     def cuts(self, normalised: str) -> list[str]:
         if self.keep is None:
             return self.cut(normalised)
         return [x for k, part in enumerate(self.keep.split(normalised)) for x in ([part] if k % 2 else self.cut(part))]
 
+    def encode_all(self, texts: list[str], end: bool = True):
+        """encode of each text; the cuts of some texts at once are merged side by side."""
+        for part in _portions(texts):
+            ready = [(n, a, self.cuts(n)) for n, a in map(self.normalise, part)]
+            known = self.memory.known(set(chain.from_iterable(cuts for _, _, cuts in ready)))
+            for text, (normalised, align, cuts) in zip(part, ready, strict=True):
+                yield self._project(text, normalised, align, list(map(known.__getitem__, cuts)), end)
+
     def encode(self, text: str, end: bool = True) -> tuple[list[int], np.ndarray]:
         """Ids, and for each the first and last source byte (end exclusive) it stands for. The end id has an empty span at the end."""
-        normalised, align = self.normalise(text)
-        ids: list[int] = []
-        sizes: list[int] = []
-        for own, size in map(self.memory.__getitem__, self.cuts(normalised)):
-            ids += own
-            sizes += size
-        ends = np.cumsum(np.array(sizes, dtype=np.int64))
+        return next(self.encode_all([text], end))
+
+    def _project(self, text: str, normalised: str, align: np.ndarray | None, cuts: list[bytes], end: bool) -> tuple[list[int], np.ndarray]:
+        known = np.frombuffer(b"".join(cuts), dtype=np.int32).reshape(-1, 2)
+        ids, ends = known[:, 0].tolist(), np.cumsum(known[:, 1], dtype=np.int64)
         source = text.encode()
         total = len(source)
         if align is None:
@@ -239,29 +251,115 @@ class Pieces:
             raw = raw[3:]
         return raw.decode("utf-8", "replace").replace(SPACE, " ")
 
-    def digest(self, text: str) -> tuple[int, str, str, str]:
-        """All ids counted, and hashes of: the ids as decimals joined by a space; the text decoded from them; the spans' first and last bytes, id by id, as little-endian 64-bit numbers."""
-        ids, spans = self.encode(text)
+    def digest(self, ids: list[int], spans: np.ndarray) -> tuple[int, str, str, str]:
+        """Of an encoded text: all ids counted, and hashes of: the ids as decimals joined by a space; the text decoded from them; the spans' first and last bytes, id by id, as little-endian 64-bit numbers."""
         joined = " ".join(map(self.decimal.__getitem__, ids))
         return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest(), hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest()
 
 
-class _Cuts(dict):
-    """Of a cut: its ids and the normalised bytes of each."""
+def _portions(texts: list[str]):
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= AT_ONCE or i + 1 == len(texts):
+            yield texts[begin : i + 1]
+            begin, size = i + 1, 0
+
+
+class _Pairs:
+    """Merging of many cuts side by side. A pair of pieces that is one when joined has the rank of its score, the best highest."""
+
+    def __init__(self, score: dict[str, float], ids: dict[str, int], n: int):
+        self.n = n
+        rank = {x: r for r, x in enumerate(sorted(set(score.values())), 1)}  # equal scores have equal ranks
+        found = sorted((ids[p[:i]] * (n + 1) + ids[p[i:]], rank[x], ids[p]) for p, x in score.items() for i in range(1, len(p)) if p[:i] in score and p[i:] in score)
+        keys, ranks, joined = zip(*found, (np.iinfo(np.int64).max, 0, n), strict=True)
+        self.keys, self.ranks, self.joined = np.array(keys, dtype=np.int64), np.array(ranks, dtype=np.int32), np.array(joined, dtype=np.int64)
+        self.character = np.full(0x110000, n, dtype=np.int64)
+        for p in score:
+            if len(p) == 1:
+                self.character[ord(p)] = ids[p]
+        self.bytes = np.zeros(n + 1, dtype=np.int64)
+        for p in score:
+            self.bytes[ids[p]] = len(p.encode())
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of ids; 0 if they join to no piece, as with n, which stands for none."""
+        key = a * (self.n + 1) + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], 0)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece of pairs that join to one."""
+        return self.joined[np.searchsorted(self.keys, a * (self.n + 1) + b)]
+
+    def merged(self, cuts: list[str]):
+        """Each cut with what _Cuts keeps of it, but for cuts that are too long or have a character that is no piece."""
+        size = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
+        symbols = self.character[np.frombuffer("".join(cuts).encode("utf-32-le"), dtype=np.uint32)]
+        first = np.cumsum(size) - size
+        plain = np.flatnonzero((np.maximum.reduceat(symbols, first) < self.n) & (size <= WIDE)) if len(cuts) else first
+        low = 0
+        for width in (6, 8, 10, 12, 16, 24, 40, WIDE):
+            rows = plain[(size[plain] > low) & (size[plain] <= width)]
+            low = width
+            within = np.arange(width) < size[rows][:, None]
+            ids = np.full(within.shape, self.n)
+            ids[within] = symbols[(first[rows][:, None] + np.arange(width))[within]]
+            ranks = self.rank(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                best = ranks.argmax(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)  # of equals the leftmost
+                top = ranks[np.arange(len(rows)), best] if ranks.shape[1] else best
+                done = top == 0
+                yield from self._named(cuts, rows[done], ids[done])
+                go = np.flatnonzero(~done)
+                rows, best, ids, ranks, each = rows[go], best[go], ids[go], ranks[go], np.arange(len(go))
+                ids[each, best] = self.join(ids[each, best], ids[each, best + 1])
+                ids = np.where(np.arange(ids.shape[1] - 1) > best[:, None], ids[:, 1:], ids[:, :-1])
+                ranks = np.where(np.arange(ranks.shape[1] - 1) >= best[:, None], ranks[:, 1:], ranks[:, :-1])
+                for near in (best - 1, best):  # the pairs that the new piece is in
+                    has = np.flatnonzero((near >= 0) & (near < ranks.shape[1]))
+                    at = near[has]
+                    ranks[has, at] = self.rank(ids[has, at], ids[has, at + 1])
+
+    def _named(self, cuts: list[str], rows: np.ndarray, ids: np.ndarray):
+        real = ids < self.n
+        flat = ids[real]
+        packed = np.stack([flat, self.bytes[flat]], axis=1).astype(np.int32).tobytes()
+        edge = (8 * np.cumsum(real.sum(axis=1))).tolist()
+        a = 0
+        for row, z in zip(rows.tolist(), edge, strict=True):
+            yield cuts[row], packed[a:z]
+            a = z
+
+
+class _Cuts:
+    """Of a cut: its ids and the normalised bytes of each, as pairs of 32-bit numbers in one string of bytes, which is less to keep and to join than lists."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.old: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
-
-    def __missing__(self, cut: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        if (found := self.old.get(cut)) is None:
-            found = ((self.pieces.id[cut],), (len(cut.encode()),)) if cut in self.pieces.own else self.pieces.ids_of(cut)
-        if len(self) > MEMORY:
-            self.old = dict(self)
-            self.clear()
-        self[cut] = found
+        self.recent: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def known(self, cuts: set[str]) -> dict[str, bytes]:
+        """Of these cuts; those not remembered are merged side by side, or one by one where that leaves them out."""
+        recent, old = self.recent.get, self.old.get
+        found = {c: recent(c) or old(c) for c in cuts}
+        new = [c for c, have in found.items() if have is None]
+        if new:
+            found.update(self.pieces.pairs.merged([c for c in new if c not in self.pieces.whole]))
+            for c in new:
+                if found[c] is None:
+                    found[c] = self.one(c)
+        if len(self.recent) + len(found) > MEMORY:
+            self.old, self.recent = self.recent, {}
+        self.recent.update(found)
         return found
 
+    def one(self, cut: str) -> bytes:
+        ids, sizes = ([self.pieces.id[cut]], [len(cut.encode())]) if cut in self.pieces.whole else self.pieces.ids_of(cut)
+        return np.array([ids, sizes], dtype=np.int32).T.tobytes()
+
 
 def _model(df: DataFrame, path: str):
     with open(path, "rb") as f:
@@ -276,7 +374,7 @@ def encode_pieces(df: DataFrame, model_path: str) -> DataFrame:
         pieces = Pieces(held.value)
 
         def each(batch: pa.RecordBatch) -> dict:
-            done = [pieces.encode(t or "") for t in batch.column(1).to_pylist()]
+            done = list(pieces.encode_all([t or "" for t in batch.column(1).to_pylist()]))
             return {"doc_id": batch.column(0), "ids": [d[0] for d in done], "starts": [d[1][:, 0] for d in done], "ends": [d[1][:, 1] for d in done]}
 
         return each
@@ -303,7 +401,7 @@ def piece_digests(df: DataFrame, model_path: str) -> DataFrame:
         pieces = Pieces(held.value)
 
         def each(batch: pa.RecordBatch) -> dict:
-            done = [pieces.digest(t or "") for t in batch.column(1).to_pylist()]
+            done = [pieces.digest(*d) for d in pieces.encode_all([t or "" for t in batch.column(1).to_pylist()])]
             return {"doc_id": batch.column(0), "n_tokens": [d[0] for d in done], "ids_sha256": [d[1] for d in done], "decoded_sha256": [d[2] for d in done], "spans_sha256": [d[3] for d in done]}
 
         return each

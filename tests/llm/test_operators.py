@@ -355,7 +355,7 @@ def test_pieces_against_the_library():
         ids = lib.encode(t, add_eos=True)
         got, spans = own.encode(t)
         assert got == ids and own.decode(got) == lib.decode(ids)
-        n, a, b, c = own.digest(t)
+        n, a, b, c = own.digest(got, spans)
         assert c == hashlib.sha256(b"".join(int(v).to_bytes(8, "little") for span in spans for v in span)).hexdigest()
         assert (n, a, b) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
         assert spans[0, 0] == 0 and spans[-1, 1] == len(t.encode()) and (spans[1:, 0] == spans[:-1, 1]).all()
@@ -431,6 +431,17 @@ def test_long_words_merge_alike():
         assert own._merge_long(w) == own.merge(w)
 
 
+def test_cuts_merge_alike_side_by_side():
+    own = pieces.Pieces(open(tokenizer_path("piece_bpe_32k.model"), "rb").read())
+    r = random.Random(10)
+    cuts = ["▁" * r.randint(0, 2) + "".join(r.choice("theranoingsAB1.") for _ in range(r.randint(1, 80))) + r.choice(["", "", "é", "中", "\x00"]) for _ in range(4000)] + ["a", "▁", "▁the"]
+    got = {c: np.frombuffer(found, np.int32).reshape(-1, 2).T.tolist() for c, found in own.pairs.merged(cuts)}
+    assert len(got) > 1000 and {len(c) for c in got} >= set(range(1, 40))
+    for c, found in got.items():
+        assert tuple(found) == own.ids_of(c), c
+    assert list(own.pairs.merged([])) == []
+
+
 def test_pieces_of_awkward_rows(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     df = awkward(spark)
