@@ -38,7 +38,7 @@ def test_query_equals_its_sql(spark, con, name):
     assert collections.Counter(tuple(plain(v) for v in r) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["gain_loss", "run_changes", "run_log_round_trip"])
+@pytest.mark.parametrize("name", ["gain_loss", "run_changes", "run_log_round_trip", "score_run"])
 def test_ids_of_more_than_six_digits(spark, tmp_path, name):
     """Ids that share their first six digits stay apart."""
     import duckdb
