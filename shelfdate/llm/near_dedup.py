@@ -44,6 +44,8 @@ PLANES, NEVER = 4, 4.4
 PARITY = 2048
 #: Arrivals drawn at once, about.
 DRAW = 1 << 15
+#: Rows, and bytes of text, of the documents for each task of the steps between: many tiny files cost more than they hold.
+PART_ROWS, PART_BYTES = 5000, 1 << 24
 
 
 def shingles(x: Laid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,13 +181,14 @@ def marks(x: Laid) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list
 
 
 def _nodes(df: DataFrame) -> DataFrame:
-    """doc_id, node (md5 of the text; null for texts without words), its buckets, planes and, if they are others, planes of even weights."""
+    """doc_id, node (md5 of the text; null for texts without words), bytes of the text, its buckets, planes and, if they are others, planes of even weights."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"node": [], "buckets": [], "planes": [], "even": []}
+            out: dict[str, list] = {"node": [], "size": [], "buckets": [], "planes": [], "even": []}
             for _, raws, x in laid(batch.column(1).to_pylist()):
                 has, *rest = marks(x)
+                out["size"] += [len(r) for r in raws]
                 out["node"] += [hashlib.md5(r).digest() if h else None for r, h in zip(raws, has, strict=True)]
                 for name, found in zip(("buckets", "planes", "even"), rest, strict=True):
                     out[name] += [f if h else None for f, h in zip(found, has, strict=True)]
@@ -193,7 +196,13 @@ def _nodes(df: DataFrame) -> DataFrame:
 
         return each
 
-    return map_rows(df, make, "doc_id long, node binary, buckets array<long>, planes array<long>, even array<long>")
+    return map_rows(df, make, "doc_id long, node binary, size long, buckets array<long>, planes array<long>, even array<long>")
+
+
+def _parts(nodes: DataFrame) -> int:
+    """How many tasks the steps between are dealt to at most: as many as the documents' rows and bytes ask for, all cores at least."""
+    rows, size = nodes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return max(nodes.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS), -(-size // PART_BYTES))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -216,15 +225,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """node and label, the least node of its component, of every node in links (a, b). Labels spread over links and jump to their labels' labels until none changes."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), parts)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), parts)
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         near = labels.join(heard, "node", "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("l"))
         jump = labels.select(F.col("node").alias("l"), F.col("label").alias("over"))
-        new = written(near.join(jump, "l", "left").select("node", F.least("l", F.coalesce("over", "l")).alias("label"), (F.least("l", F.coalesce("over", "l")) < F.col("label")).alias("moved")))
+        new = written(near.join(jump, "l", "left").select("node", F.least("l", F.coalesce("over", "l")).alias("label"), (F.least("l", F.coalesce("over", "l")) < F.col("label")).alias("moved")), parts)
         dropped(labels)
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
@@ -232,16 +241,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     """The labels after these further links: components of the labels that they hold together, not of all nodes again."""
     name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
     between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
-    merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    merged = components(between, parts).select(F.col("node").alias("label"), F.col("label").alias("to"))
     alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
     return labels.union(alone).join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
-def _profiles(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _profiles(nodes: DataFrame, texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """A frame, and the table that it reads: node, and of its shingles: n, their weights' sum w, whether one occurs twice (multi), their parities (odd), and u and v: how many, and of what weight, no other of these nodes has."""
 
     def make():
@@ -259,7 +268,7 @@ def _profiles(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
 
         return each
 
-    have = written(map_rows(texts.join(nodes, "node").select("node", "text"), make, "node binary, keys array<long>, shares array<double>, multi boolean, odd array<long>"))
+    have = written(map_rows(texts.join(nodes, "node").select("node", "text"), make, "node binary, keys array<long>, shares array<double>, multi boolean, odd array<long>"), parts)
     each = have.select("node", F.explode(F.arrays_zip("keys", "shares")).alias("x")).select("node", F.col("x.keys").alias("key"), F.col("x.shares").alias("w"))
     own = each.groupBy("key").agg(F.count("*").alias("c"), F.first("node").alias("node"), F.first("w").alias("w")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"), F.sum("w").alias("v"))
     sums = have.select("node", F.size("keys").cast("long").alias("n"), F.aggregate("shares", F.lit(0.0), lambda a, x: a + x).alias("w"), "multi", "odd")
@@ -283,56 +292,56 @@ def _likely(least: float) -> str:
     return f"({differ} <= case when ma or mb then greatest({sets}, {shares}) else {sets} end and ({agreeing('ea', 'eb')} or ((ma or mb) and {agreeing('pa', 'pb')})))"
 
 
-def links(df: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Links a, b between unlike texts that hold all classes together, and the labels of their nodes. nodes: doc_id, node, buckets, planes and even of df's rows."""
+def links(df: DataFrame, nodes: DataFrame, parts: int, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Links a, b between unlike texts that hold all classes together, and the labels of their nodes. nodes: doc_id, node, buckets, planes and even of df's rows; parts: how many tasks a step is dealt to at most."""
     spark = df.sparkSession
     worded = nodes.where("node is not null")
     places = worded.groupBy("node").agg(F.first("buckets").alias("buckets")).select("node", F.explode("buckets").alias("bucket"))
     sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(places.join(sizes, "bucket"))
+    shared = written(places.join(sizes, "bucket"), parts)
     cleaned(spark)
     # a bucket's leader is the node with the most company in all its buckets: of copies, the one that most are like
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
     met = shared.join(company, "node").select("bucket", "node", F.struct("company", "node").alias("rank"))
     leaders = met.groupBy("bucket").agg(F.max("rank").alias("m")).select("bucket", F.col("m.node").alias("leader"))
-    members = written(shared.select("bucket", "node").join(leaders, "bucket"))
+    members = written(shared.select("bucket", "node").join(leaders, "bucket"), parts)
     dropped(shared)
     # the texts of nodes with company, once each; the rest isn't moved again
     wanted = df.where("text is not null").select(F.expr("unhex(md5(cast(text as binary)))").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
-    copies = written(wanted)
+    copies = written(wanted, parts)
     cleaned(spark)
-    texts = written(copies.groupBy("node").agg(F.first("text").alias("text")))
+    texts = written(copies.groupBy("node").agg(F.first("text").alias("text")), parts)
     dropped(copies)
     cleaned(spark)
-    stars = written(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    first = written(_verified(stars, texts, least))
+    stars = written(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), parts)
+    first = written(_verified(stars, texts, least), parts)
     cleaned(spark)
-    labels = components(first)
+    labels = components(first, parts)
     named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    open_ = written(named.join(mixed, "bucket"))
+    open_ = written(named.join(mixed, "bucket"), parts)
     if not open_.limit(1).count():
         return first, labels
-    pairs = across(open_, worded, texts, least)
-    second = written(_verified(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts, least))
+    pairs = across(open_, worded, texts, parts, least)
+    second = written(_verified(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts, least), parts)
     for x in (open_, pairs, stars, members, texts):
         dropped(x)
     cleaned(spark)
     if not second.limit(1).count():
         return first, labels
-    return first.union(second), _joined(labels, second)
+    return first.union(second), _joined(labels, second, parts)
 
 
-def across(open_: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def across(open_: DataFrame, nodes: DataFrame, texts: DataFrame, parts: int, least: float) -> DataFrame:
     """Pairs a < b of nodes of unlike labels in a bucket that may be linked. open_: bucket, node and label; nodes: node, buckets, planes and even."""
-    profiles, held = _profiles(open_.select("node").distinct(), texts)
+    profiles, held = _profiles(open_.select("node").distinct(), texts, parts)
     able = profiles.where(f"n - u >= {least - 1e-9}D * n or (multi and w - v >= {least - 1e-9}D * w)")
     signed = nodes.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("buckets").alias("buckets"), F.first("planes").alias("planes"), F.first("even").alias("even"))
-    known = written(open_.join(able.join(signed, "node"), "node").withColumn("even", F.coalesce("even", "planes")))
+    known = written(open_.join(able.join(signed, "node"), "node").withColumn("even", F.coalesce("even", "planes")), parts)
     dropped(held)
     side = lambda x: known.select("bucket", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("label", "n", "u", "w", "v", "multi", "odd", "planes", "even")], F.col("buckets").alias(f"b{x}"))
-    # of the buckets that a pair shares, the least makes it
-    pairs = written(side("a").join(side("b"), "bucket").where(f"la <> lb and a < b and {_possible(least)} and {_likely(least)} and bucket = array_min(array_intersect(ba, bb))").select("a", "b"))
+    # of the buckets that a pair shares, the least makes it; work goes by pairs here, so that more tasks have it
+    pairs = written(side("a").join(side("b"), "bucket").where(f"la <> lb and a < b and {_possible(least)} and {_likely(least)} and bucket = array_min(array_intersect(ba, bb))").select("a", "b"), 4 * parts)
     dropped(known)
     return pairs
 
@@ -341,15 +350,16 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and node of every row."""
     df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     nodes = written(_nodes(df))
-    _, labels = links(df, nodes, least)
+    parts = _parts(nodes)
+    _, labels = links(df, nodes, parts, least)
     rows = nodes.select("doc_id", "node")
     least_id = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("m"))
     labelled = least_id.join(labels, "node", "left").select("node", "m", F.coalesce("label", "node").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("m").alias("class_id"))
     # written, so that the join below deals both of its sides itself and can split the node of a text that very many rows have
-    member = written(labelled.join(ids, "label").select("node", "class_id"))
+    member = written(labelled.join(ids, "label").select("node", "class_id"), parts)
     alone = rows.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), "node")
-    return rows.where("node is not null").join(member, "node").select("doc_id", "class_id", "node").union(alone)
+    return rows.where("node is not null").join(member, "node").select("doc_id", "class_id", "node").union(alone).coalesce(parts)
 
 
 def keep_one(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -238,6 +238,29 @@ def test_verified_pairs_grow_with_the_group(spark, monkeypatch):
     assert made[1] < 2.6 * made[0] and made[2] < 2.6 * made[1], made
 
 
+def test_steps_between_write_few_files(spark, monkeypatch):
+    """Small tables stay a few files each, whatever the number of shuffle partitions."""
+    files, rows = [], copies()
+    kept = near_dedup.written
+
+    def counted(df, *parts):
+        out = kept(df, *parts)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == brute_classes(rows)
+    assert len(files) > 8 and max(files) <= 4 * spark.sparkContext.defaultParallelism and sorted(files)[-2] <= spark.sparkContext.defaultParallelism, files
+
+
 def test_parities_bound_the_difference():
     r = np.random.default_rng(5)
     for n, other in ((50, 10), (400, 300), (5000, 2000)):
