@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cleaned, written
 
 WINDOW = 2
 
@@ -82,14 +82,16 @@ def repeats(df: DataFrame, window: int = WINDOW, pairs: bool = True) -> DataFram
     texts = told.select(F.explode(F.expr(_LINES.format(r"transform(_asked, q -> named_struct('_a', q._a, '_b', q._b, 'first', q.first, '_text', array_join(slice(l, q.first._at + 1, q.first._n), '\n')))"))).alias("q")).select("q.*")
     # written, so that the join below deals both of its sides itself and can split a piece that very many texts have
     known = written(texts.dropDuplicates(["_a", "_b"]))
+    cleaned(df.sparkSession, 2)  # its shuffles would lie beside those of the query that is made here
     return marks.join(known, ["_a", "_b"]).where(place != F.col("first")).groupBy(*_KEY).agg(F.collect_set(F.struct(F.col("_at").alias("at"), F.col("_n").alias("n"), F.col("_text").alias("text"))).alias("_gone"))
 
 
 def _rid(df: DataFrame, window: int, pairs: bool) -> DataFrame:
     """row (df's columns), _kept, the text that stays, _lines and _gone_lines."""
     gone = repeats(df, window, pairs).withColumnRenamed("_id", "_gid").withColumnRenamed("_t", "_gt")
-    rows = _keyed(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id"), F.col("text")))
-    joined = rows.join(gone, rows["_id"].eqNullSafe(gone["_gid"]) & (rows["_t"] == gone["_gt"]), "left").select("row", "text", "_gone")
+    rows = _keyed(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id"), F.col("text"))).drop("doc_id", "text")
+    # the text goes through the join once, within row
+    joined = rows.join(gone, rows["_id"].eqNullSafe(gone["_gid"]) & (rows["_t"] == gone["_gt"]), "left").select("row", F.col("row.text").alias("text"), "_gone")
     return (
         joined.withColumn("_stay", F.expr(_LINES.format(r"array_except(sequence(0, size(l) - 1), flatten(transform(filter(_gone, g -> array_join(slice(l, g.at + 1, g.n), '\n') = g.text), g -> sequence(g.at, g.at + g.n - 1))))")))
         .withColumn("_kept", F.expr("case when _gone is null then text else " + _LINES.format(r"array_join(transform(_stay, i -> get(l, i)), '\n')") + " end"))

@@ -37,7 +37,8 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def cleaned(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps whose results are written and whose plans are no longer held."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def cleaned(spark: SparkSession, rounds: int = 1) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps whose results are written and whose plans are no longer held. The first round misses the shuffles of the step written last, a second one finds them."""
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()

@@ -781,3 +781,27 @@ def test_native_operators_have_no_python(spark):
     for out in (line_dedup.dedup_lines(df), decontaminate.drop_leaks(df, bench)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def shuffle_files(spark) -> set[str]:
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in blocks.split("\n") if re.search(r"shuffle_\d+_\d+_0\.data$", f)}
+
+
+def test_passages_leave_no_shuffles_of_steps_that_are_written(spark):
+    rows = [(d, "\n".join(f"line {d // 2} {i} of a text that two documents have" for i in range(6))) for d in range(200)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    before = shuffle_files(spark)
+    out = line_dedup.passage_digests(df)
+    for _ in range(100):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and sum(x.n_removed for x in out.collect()) == 600
+
+
+def test_passages_carry_each_text_once_through_the_join(spark):
+    df = spark.createDataFrame([(d, "one line\nanother line") for d in range(4)], DOCS)
+    plan = line_dedup.passage_digests(df)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [x for x in plan.split("\n") if re.search(r"Project \[.* AS row#", x)]
+    assert dealt and not any(re.search(r", text#\d+(,|\])", re.sub(r"struct\([^)]*\)", "", x)) for x in dealt)
