@@ -9,9 +9,10 @@ Every byte covered by a SPAN-byte string that also starts earlier (smaller doc_i
    the others start later and go.
 3. Unlike snippets of one anchor may still share windows. Anchors are dealt to buckets of bounded size. A bucket's snippets
    are split into shards; each shard's rotations are sorted by their first SPAN bytes and give its transform. The merge
-   never sorts rotations again: an interleave vector of shard numbers is refined, each step one stable counting sort by
-   the transform's preceding symbols, until the blocks that it separates are the intervals of rotations with SPAN bytes in
-   common (the common prefixes). In each interval the first place stays.
+   never sorts rotations again: an interleave of the shards' places is refined, each step one stable counting sort by the
+   transform's preceding symbols, until the blocks that it separates are the intervals of rotations with SPAN bytes in
+   common (the common prefixes). Only places that lead up to windows and still share their block are refined. In each
+   interval the first place stays.
 4. An anchor with more than LIMIT unlike snippets (a line that everybody has, among unlike neighbours) is dealt again by a
    longer key: half of what its windows still have left or right of it. Keys grow to whole windows, so this ends.
 
@@ -85,36 +86,48 @@ def _chunks(texts: list[bytes]):
 
 def sort_shard(codes: np.ndarray, follow: np.ndarray, depth: int) -> np.ndarray:
     """Order of a shard's rotations by their first depth symbols (bytes) or more, by rank doubling. follow: the place after each in its snippet, around its end."""
-    key, ahead, have = np.zeros(len(codes), np.uint64), np.arange(len(codes)), 0
-    while have < min(8, depth):  # the first symbols, packed into a word
-        key = key << np.uint64(8) | codes[ahead]
-        ahead = follow[ahead]
-        have += 1
-    _, rank = np.unique(key, return_inverse=True)
+    rank, ahead, have = codes.astype(np.uint16) << np.uint16(8) | codes[follow], follow[follow], 2
+    order = np.argsort(rank, kind="stable")
     while have < depth:
-        key = rank.astype(np.int64) * (int(rank.max()) + 1) + rank[ahead]
-        _, rank = np.unique(key, return_inverse=True)
+        second = rank[ahead]
+        order = np.argsort(second, kind="stable")
+        order = order[np.argsort(rank[order], kind="stable")]  # counting sorts, as long as ranks fit 16 bits
+        a, b = rank[order], second[order]
+        edge = np.zeros(len(order), bool)
+        edge[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        dense = np.cumsum(edge, dtype=np.int32)
+        distinct = int(dense[-1]) + 1 if len(dense) else 0
+        rank = np.empty(len(order), np.uint16 if distinct <= 1 << 16 else np.int32)
+        rank[order] = dense
         ahead = ahead[ahead]
         have *= 2
-        if rank.max() + 1 == len(rank):
+        if distinct == len(rank):
             break
-    return np.argsort(rank, kind="stable")
+    return order
 
 
-def merge_shards(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave (the shard of each place of the merged order) and block of each place, after refinement by that many symbols. bwts: the symbol before each rotation, in the shard's order."""
-    before = np.concatenate(bwts)
-    order = np.repeat(np.arange(len(bwts), dtype=np.uint16 if len(bwts) < 1 << 16 else np.int64), [len(b) for b in bwts])
-    block = np.zeros(len(order), np.int64)
+def merge_shards(bwts: list[np.ndarray], rounds: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rotations at the asked places (in the shards' orders, one after another): place and block, in the merged order, of those in blocks of two or more after refinement by that many symbols. bwts: the symbol before each rotation, in the shard's order."""
+    before, at = np.concatenate(bwts), np.cumsum([0, *map(len, bwts)])
+    # where the rotation behind the symbol before each stands in its shard's order, and the way back
+    behind = np.concatenate([a + np.argsort(b, kind="stable") for a, b in zip(at, bwts, strict=False)]).astype(np.int32)
+    ahead = np.empty_like(behind)
+    ahead[behind] = np.arange(len(behind), dtype=np.int32)
+    place = asked
     for _ in range(rounds):
-        symbols = np.empty_like(before)
-        symbols[np.argsort(order, kind="stable")] = before  # each shard's transform, read off in the order of the interleave
+        place = behind[place]
+    # the interleave of those that lead up to the asked ones; one that is alone in its block stays so, and needs no more refinement
+    place = np.sort(place)
+    block = np.zeros(len(place), np.int32)
+    for _ in range(rounds):
+        symbols = before[place]
         moved = np.argsort(symbols, kind="stable")
-        order, s, b = order[moved], symbols[moved], block[moved]
-        edge = np.zeros(len(order), np.int64)
-        edge[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        block = np.cumsum(edge)
-    return order, block
+        s, b = symbols[moved], block[moved]
+        edge = np.ones(len(moved) + 1, bool)
+        edge[1:-1] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
+        many = np.flatnonzero(~(edge[:-1] & edge[1:]))
+        place, block = ahead[place[moved[many]]], np.cumsum(edge[:-1], dtype=np.int32)[many]
+    return place, block
 
 
 def repeated(snippets: list[bytes], windows: np.ndarray, span: int = SPAN, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,33 +136,26 @@ def repeated(snippets: list[bytes], windows: np.ndarray, span: int = SPAN, shard
     codes = np.frombuffer(b"".join(s + b"\xff" for s in snippets), dtype=np.uint8)  # no UTF-8 text has this byte
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     who = np.repeat(np.arange(len(snippets)), sizes)
+    last = first + sizes - 1
     around = np.arange(len(codes)) - first[who]
+    after = np.arange(1, len(codes) + 1)
+    after[last] = first
+    ago = np.arange(-1, len(codes) - 1)  # the place before each in its snippet, around its start
+    ago[first] = last
     step, symbol = 1, codes.astype(np.uint16)
-    for wide in (2, 4):  # several bytes at a time, as long as their codes fit a counting sort
-        if span % wide:
-            break
-        back = first[who] + (around - wide // 2) % sizes[who]
-        pair = symbol.astype(np.uint32)[back] << np.uint32(16) | symbol
-        values, dense = np.unique(pair, return_inverse=True)
-        if len(values) >= 1 << 16:
-            break
-        step, symbol = wide, dense.astype(np.uint16)
+    if span % 2 == 0:  # several bytes at a time, as long as their codes fit a counting sort
+        step, symbol = 2, symbol[ago] << np.uint16(8) | symbol
+        if span % 4 == 0 and len(codes) < 1 << 16:
+            four = symbol.astype(np.uint32)[ago[ago]] << np.uint32(16) | symbol
+            step, symbol = 4, np.unique(four, return_inverse=True)[1].astype(np.uint16)
     # symbol[i] codes the step bytes that end at i; the symbol before a rotation ends just in front of it
-    before = symbol[first[who] + (around - 1) % sizes[who]]
-    after = first[who] + (around + 1) % sizes[who]
+    before = symbol[ago]
     cuts = np.flatnonzero(np.diff(np.concatenate([[-1], first // shard]))) if len(first) else np.zeros(0, np.int64)
     edges = np.append(first[cuts], len(codes))
     orders = [a + sort_shard(codes[a:z], after[a:z] - a, span) for a, z in zip(edges[:-1], edges[1:], strict=True)]
-    order, block = merge_shards([before[o] for o in orders], span // step)
-    place = np.empty(len(order), np.int64)
-    place[np.argsort(order, kind="stable")] = np.concatenate(orders)
-    own = around[place] < windows[who[place]]
-    place, block = place[own], block[own]
-    many = np.zeros(len(block), bool)
-    same = block[1:] == block[:-1]
-    many[1:] |= same
-    many[:-1] |= same
-    return who[place[many]], around[place[many]], block[many]
+    order = np.concatenate(orders)
+    place, block = merge_shards([before[o] for o in orders], span // step, np.flatnonzero(around[order] < windows[who[order]]))
+    return who[order[place]], around[order[place]], block
 
 
 _ROW = "doc_id long, t long, start long, windows int, at int, width int, key long, snippet binary"

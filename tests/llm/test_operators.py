@@ -609,6 +609,26 @@ def test_merged_intervals_against_sets():
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_merge_refines_only_places_that_lead_up_to_shared_windows(monkeypatch):
+    r = random.Random(16)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(130))
+    snippets = [("".join(r.choice("abcdefgh ") for _ in range(60)) + shared[k : k + 110] + "xyz"[k]).encode() for k in (0, 1, 2) for _ in range(40)]
+    windows = np.array([len(s) - 99 for s in snippets])
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, **how: sizes.append(len(a)) or sort(a, **how))
+    who, at, block = suffix_dedup.repeated(snippets, windows)
+    monkeypatch.undo()
+    got = collections.defaultdict(set)
+    for w, a, b in zip(who.tolist(), at.tolist(), block.tolist(), strict=True):
+        got[b].add((w, a))
+    want = collections.defaultdict(set)
+    for i, s in enumerate(snippets):
+        for a in range(len(s) - 99):
+            want[s[a : a + 100]].add((i, a))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    assert sum(sizes) < 40 * sum(map(len, snippets))  # two sorts of every rotation for each of the rounds would be more
+
+
 def test_strings_of_awkward_rows(spark):
     df = awkward(spark)
     out = suffix_dedup.dedup_strings(df).collect()
