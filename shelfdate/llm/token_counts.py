@@ -31,11 +31,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: The same for texts within Latin-1, its letters, numbers and white space spelt out for the faster engine.
 LATIN = "".join(chr(c) for c in range(256) if chr(c).isalpha()), "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 LATIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{0}]+| ?[{1}]+| ?[^{0}{1}{2}]+|[{2}]+(?![^{2}])|[{2}]+".format(*LATIN)
-#: Pre-tokens remembered by one task; beyond it the memory starts anew.
+#: Pre-tokens remembered by one task; beyond it those not met lately go.
 MEMORY = 300_000
 NEVER = 1 << 60
 #: Bytes up to which the program's state for a prefix is kept for other pre-tokens that begin alike.
 SHARED = 7
+#: Bytes of a token's end by which the longest tokens with that end are looked up.
+ENDING = 4
 #: Characters from which a pre-token is long.
 LONG = 64
 
@@ -56,14 +58,20 @@ class PrefixCounter:
         raw = lambda s: bytes(letters[c] for c in s)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
-        self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in self.rank}
-        self.longest = max(map(len, self.tokens))
+        tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in self.rank}
+        # of each token, and of none at a start, whether tokens stay apart behind it, as far as known
+        self.after: dict[bytes, dict[bytes, bool]] = {t: {} for t in (b"", *tokens)}
+        self.names = {id(known): t for t, known in self.after.items()}
+        self.pairs = 0
+        # the most bytes of a token with such an end; other tokens are shorter than the end
+        self.reach: dict[bytes, int] = {}
+        for t in tokens:
+            if len(t) >= ENDING:
+                self.reach[t[-ENDING:]] = max(self.reach.get(t[-ENDING:], 0), len(t))
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t["special"]]
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.find_any, self.find_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
-        self.whole: dict[bytes, bool] = {}
-        self.begun: dict[bytes, tuple[bytes, int]] = {}
+        self.begun: dict[bytes, tuple[list[dict[bytes, bool]], list[int]]] = {}
         self.counts = _Counts(self)
 
     def encode(self, piece: bytes) -> list[bytes]:
@@ -104,39 +112,39 @@ class PrefixCounter:
         return [p for p in parts if p is not None]
 
     def _stays(self, a: bytes, b: bytes) -> bool:
-        if (known := self.apart.get((a, b))) is None:
-            if len(self.apart) > 4 * MEMORY:
-                self.apart.clear()
-            known = self.apart[a, b] = self.encode(a + b) == [a, b]
-        return known
-
-    def _single(self, t: bytes) -> bool:
-        if (known := self.whole.get(t)) is None:
-            known = self.whole[t] = self.encode(t) == [t]
+        """Whether b stays apart when it is encoded together with the token a before it, or alone where a is empty; kept beside a."""
+        if self.pairs > 4 * MEMORY:
+            self.pairs = 0
+            for known in self.after.values():
+                known.clear()
+        self.pairs += 1
+        known = self.after[a][b] = self.encode(a + b) == ([a, b] if a else [b])
         return known
 
     def prefixes(self, piece: bytes) -> list[int]:
         """prefixes(p)[i] is the number of tokens of p[:i]."""
-        last: list[bytes] = [b""]
-        count = [0]
-        known = self.begun
-        for i in range(1, len(piece) + 1):
-            if i <= SHARED and (state := known.get(piece[:i])) is not None:
-                last.append(state[0])
-                count.append(state[1])
-                continue
-            for n in range(min(i, self.longest), 0, -1):
-                t = piece[i - n : i]
-                if t in self.tokens and (self._single(t) if n == i else self._stays(last[i - n], t)):
-                    last.append(t)
-                    count.append(count[i - n] + 1)
-                    if i <= SHARED:
-                        if len(known) > MEMORY:
-                            known.clear()
-                        known[piece[:i]] = t, count[i]
-                    break
+        known, after, reach = self.begun, self.after, self.reach
+        at = min(len(piece), SHARED)
+        while at and (state := known.get(piece[:at])) is None:
+            at -= 1
+        last, count = (state[0][:], state[1][:]) if at else ([after[b""]], [0])
+        for i in range(at + 1, len(piece) + 1):
+            n = reach.get(piece[i - ENDING : i], ENDING - 1) if i >= ENDING else i
+            for k in range(i - n if i > n else 0, i):
+                t = piece[k:i]
+                if (own := after.get(t)) is not None:
+                    if (stays := last[k].get(t)) is None:
+                        stays = self._stays(self.names[id(last[k])], t)
+                    if stays:
+                        last.append(own)
+                        count.append(count[k] + 1)
+                        break
             else:
                 raise AssertionError("no last token fits")
+            if i <= SHARED:
+                if len(known) > MEMORY:
+                    known.clear()
+                known[piece[:i]] = last[:], count[:]
         return count
 
     def find(self, text: str) -> list[str]:
@@ -163,12 +171,15 @@ class _Counts(dict):
     """Tokens of a pre-token; filled by the dynamic program when first asked for."""
 
     def __init__(self, counter: PrefixCounter):
-        self.counter = counter
+        self.counter, self.old = counter, {}
 
     def __missing__(self, piece: str) -> int:
-        if len(self) > MEMORY:
+        if len(self) >= MEMORY // 2:  # what was met since the last time stays, what was met before that goes
+            self.old = dict(self)
             self.clear()
-        n = self[piece] = 1 if piece in self.counter.special else self.counter.prefixes(piece.encode())[-1]
+        if (n := self.old.get(piece)) is None:
+            n = 1 if piece in self.counter.special else self.counter.prefixes(piece.encode())[-1]
+        self[piece] = n
         return n
 
 

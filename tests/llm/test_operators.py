@@ -666,6 +666,19 @@ def test_counts_and_prefixes_against_the_library():
         assert own.prefixes(w)[-1] == len(own._encode_long(w))
 
 
+def test_counts_keep_what_was_met_lately_when_memory_is_full(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMORY", 100)
+    own = token_counts.PrefixCounter(open(tokenizer_path("byte_bpe_50k.json"), "rb").read())
+    programs, prefixes = collections.Counter(), own.prefixes
+    monkeypatch.setattr(own, "prefixes", lambda piece: programs.update([piece]) or prefixes(piece))
+    r = random.Random(17)
+    for _ in range(1500):
+        word = "".join(r.choice("theranoing") for _ in range(r.randint(1, 14)))
+        assert own.count("everyday") == len(own.encode(b"everyday")) and own.count(word) == len(own.encode(word.encode()))
+        assert len(own.counts) + len(own.counts.old) <= 100
+    assert programs[b"everyday"] == 1 and sum(programs.values()) > 1000
+
+
 def test_counts_of_awkward_rows(spark):
     path = tokenizer_path("byte_bpe_50k.json")
     df = awkward(spark)
